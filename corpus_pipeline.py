@@ -4,9 +4,41 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quire.llm import decontaminate, language_id, mixing, packing, simhash
 from quire.llm.common import staged
+from quire.llm.queries import tokenizer_file
 
-STAGES: list = []
+#: Least score of a language; a short clean text may be uncertain between languages, so only the worst go.
+LEAST_LANGUAGE_SCORE = 0.3
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return language_id.with_known_language(docs, LEAST_LANGUAGE_SCORE)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.one_of_each_group(docs, shingle=3, radius=2)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed(docs)
+
+
+def token_rows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, tokenizer_file(), length=2048)
+
+
+STAGES = [
+    ("language-id", known_language),
+    ("simhash", near_duplicates),
+    ("decontamination", decontaminated),
+    ("mixing", mixture),
+    ("token-ids", token_rows),
+]
 #: SQL can't express language identification, SimHash or packing.
 ORACLE_SQL = None
 

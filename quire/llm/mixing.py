@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import staged, text_or_empty, word_count
+from quire.llm.common import WHITE_SPACE, staged, text_or_empty, word_count
 
 #: Fixed values of the contract: weights by rank of the source, share of all words, and times a source may be used.
 WEIGHTS, SHARE, EPOCHS = (5.0, 2.0, 1.0), 1.5, 2
@@ -142,3 +142,22 @@ def mix(docs: DataFrame, **settings) -> DataFrame:
     position = F.when(F.col("takes")[0] > 0, F.round(F.col("positions")[0], 9))
     out = placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), position.alias("position"))
     return out.orderBy(F.col("position").asc_nulls_last(), "doc_id")
+
+
+def mixed(docs: DataFrame, **settings) -> DataFrame:
+    """The training order: the rows of ``docs``, with their columns, once for each use, range-sorted by training position.
+
+    A use that takes a part of a document holds its first words, joined by single spaces;
+    each source has at most one such use.
+    """
+    sizes = staged(sized(docs), "mix-sizes")
+    rows = docs.select(
+        F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), word_count(text_or_empty()).alias("size"), F.struct("*").alias("__row__")
+    )
+    placed = curriculum(rows, sizes=sizes, **settings)
+    uses = F.filter(F.arrays_zip("takes", "positions"), lambda use: use["takes"] > 0)
+    used = placed.select("size", "__row__", F.explode(uses).alias("use")).select("size", "__row__", F.col("use.takes").alias("take"), F.col("use.positions").alias("at"))
+    words = F.regexp_extract_all(text_or_empty("__row__.text"), F.lit(f"[^{WHITE_SPACE}]+"), F.lit(0))
+    text = F.when(F.col("take") < F.col("size"), F.array_join(F.slice(words, 1, F.col("take").cast("int")), " ")).otherwise(F.col("__row__.text"))
+    ordered = used.repartitionByRange(F.col("at"), F.col("__row__.doc_id")).sortWithinPartitions("at", "__row__.doc_id")
+    return ordered.select(*((text if c == "text" else F.col(f"__row__.`{c}`")).alias(c) for c in docs.columns))
