@@ -1,0 +1 @@
+"""Document-text analytics on Spark DataFrames."""
