@@ -336,6 +336,9 @@ def score_texts(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
                     found = list(map(get, split))
                     others = Counter(word_key(w) for w, p in zip(split, found, strict=True) if p is None) if None in found else {}
                     hits = [p for p in found if p is not None]
+                    # Long words are known by their digests.
+                    for key in [k for k in others if k[:1] == b" " and k in known]:
+                        hits += [known[key]] * others.pop(key)
                     base += sum(hits)
                     seen += len(hits)
                     for column, value in zip(columns, (len(split) + 1, seen, base, [{"word": w, "n": n} for w, n in others.items()]), strict=True):
