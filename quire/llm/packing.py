@@ -99,11 +99,9 @@ def encode_texts(texts: list[str], model_file: str) -> Iterator[bytes]:
     get, encode = table.__getitem__, table.splitter.model.encode
     for at in range(0, len(texts), 256):
         split = [table.splitter.split(text) for text in texts[at : at + 256]]
-        flat = itertools.chain.from_iterable
-        table.unknown.extend(flat(itertools.filterfalse(table.__contains__, parts or ()) for parts in split))
-        if table.learn():  # it started anew
-            table.unknown.extend(flat(itertools.filterfalse(table.__contains__, parts or ()) for parts in split))
-            table.learn()
+        for parts in split:
+            table.unknown.extend(itertools.filterfalse(table.__contains__, parts or ()))
+        table.learn(split)
         for text, parts in zip(texts[at : at + 256], split, strict=True):
             yield np.array(encode(text), "<u2").tobytes() if parts is None else b"".join(map(get, parts))
 

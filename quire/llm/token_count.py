@@ -83,12 +83,14 @@ class PartTable(dict):
         self.unknown.append(part)
         return 0
 
-    def learn(self) -> None:
-        unknown, self.unknown = list(dict.fromkeys(self.unknown)), []
+    def learn(self, block: list[list[str] | None] = []) -> None:
+        """Gives the noted parts their values; where the table is full it starts anew, with all parts of the block."""
+        unknown, self.unknown = dict.fromkeys(self.unknown), []
         if len(self) + len(unknown) > len(self.whole) + REMEMBERED:
             self.clear()
             self.update(self.whole)
-        values = itertools.chain.from_iterable(self.values(*merged) for merged in self.splitter.merge(unknown))
+            unknown |= dict.fromkeys(part for parts in block for part in parts or () if part not in self)
+        values = itertools.chain.from_iterable(self.values(*merged) for merged in self.splitter.merge(list(unknown)))
         self.update(zip(unknown, values, strict=True))
 
 

@@ -40,7 +40,8 @@ def test_query(documents, clashing, model):
 def test_a_full_table_starts_anew(monkeypatch, model):
     from quire.llm import packing, token_count
 
-    monkeypatch.setattr(token_count, "REMEMBERED", 50)
-    texts = [" ".join(f"w{i}q{j}" for j in range(60)) for i in range(600)]
+    monkeypatch.setattr(token_count, "REMEMBERED", 2000)
+    # Parts that earlier blocks have learned occur again where the table starts anew.
+    texts = [" ".join(f"w{i % 90}q{j} w{i}r{j}" for j in range(12)) for i in range(1500)]
     assert count_texts(texts, tokenizer_file()) == [len(model.encode(t)) for t in texts]
     assert [len(x) // 2 for x in packing.encode_texts(texts, tokenizer_file())] == [len(model.encode(t)) for t in texts]
