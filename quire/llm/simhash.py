@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,26 +38,27 @@ SEED = 42
 BITS_AT_ONCE = 1 << 16
 
 
+def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
+    """XXH64 of each word shingle of a UTF-8 text, repeats included: A-Z lowered, words split at ASCII white space."""
+    words = text.lower().split() if text else []
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+    ends = list(itertools.accumulate(map(len, words), lambda a, b: a + b + 1))
+    starts = [0, *(end + 1 for end in ends[:-1])]
+    spans = zip(starts, ends[shingle - 1 :], strict=False) if len(words) >= shingle else [(0, len(joined))] * bool(words)
+    return np.array([digest(joined[a:b], SEED) for a, b in spans], np.uint64)
+
+
+def fingerprint(hashes: np.ndarray) -> int:
+    """The fingerprint of a text's hashes, as a signed number; zero without hashes."""
+    votes = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), BITS_AT_ONCE):
+        bits = np.unpackbits(hashes[at : at + BITS_AT_ONCE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        votes += np.add.reduce(bits, axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * votes > len(hashes), bitorder="little").tobytes(), "little", signed=True)
+
+
 def fingerprints(texts: list[bytes | None], shingle: int = 3) -> np.ndarray:
-    """Signed 64-bit fingerprint of each UTF-8 text: A-Z lowered, words split at ASCII white space."""
-    out = np.zeros(len(texts), np.int64)
-    weights = 1 << np.arange(64, dtype=np.uint64)
-    digest = xxhash.xxh64_intdigest
-    for i, text in enumerate(texts):
-        words = text.lower().split() if text else []
-        if not words:
-            continue
-        joined = b" ".join(words)
-        ends = list(itertools.accumulate(map(len, words), lambda a, b: a + b + 1))
-        starts = [0, *(end + 1 for end in ends[:-1])]
-        spans = zip(starts, ends[shingle - 1 :], strict=False) if len(words) >= shingle else [(0, len(joined))]
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in spans], np.uint64)
-        votes = np.zeros(64, np.int64)
-        for at in range(0, len(hashes), BITS_AT_ONCE):
-            bits = np.unpackbits(hashes[at : at + BITS_AT_ONCE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            votes += np.add.reduce(bits, axis=0, dtype=np.int64)
-        out[i] = weights[2 * votes > len(hashes)].sum(dtype=np.uint64).astype(np.int64)
-    return out
+    return np.array([fingerprint(shingle_hashes(text, shingle)) for text in texts], np.int64)
 
 
 class BKTree:
@@ -97,21 +99,55 @@ class BKTree:
                 query, node = (np.concatenate(x).astype(np.int64) for x in zip(*followed, strict=True))
 
 
-def shard_forest(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest (value, smallest value of its component) of the links within a shard."""
-    values = np.sort(values)
-    root = np.arange(len(values))
-    for query, found in BKTree(values).links(radius):
-        while len(query):
-            a, b = root[query], root[found]
-            low, high = np.minimum(a, b), np.maximum(a, b)
-            apart = low < high
+class _Forest:
+    """Smallest member of each component of a shard, merged link by link."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        root = self.root
+        while len(a):
+            x, y = root[a], root[b]
+            apart = x != y
             if not apart.any():
-                break
-            np.minimum.at(root, high[apart], low[apart])
+                return
+            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
             while (root != root[root]).any():
-                root = root[root]
-            query, found = query[apart], found[apart]
+                root[:] = root[root]
+
+
+def shard_forest(values: np.ndarray, radius: int, sketches: np.ndarray | None = None, agreement: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest (value, smallest value of its component) of the links within a shard of distinct values.
+
+    With ``sketches``, a row for each value, a link also needs that share of equal places.
+    Dense shards are often one component; a few whole rows of distances show that without
+    a search.
+    """
+    order = np.argsort(values)
+    values = values[order]
+    sketches = None if sketches is None else sketches[order]
+    forest = _Forest(len(values))
+
+    def link(query: np.ndarray, found: np.ndarray) -> None:
+        if sketches is not None and len(query):
+            agree = (sketches[query] == sketches[found]).mean(axis=1) >= agreement
+            query, found = query[agree], found[agree]
+        forest.add(query, found)
+
+    bits, leader = values.astype(np.uint64), 0
+    for _ in range(8 if len(values) > 64 else 0):
+        near = np.flatnonzero(np.bitwise_count(bits ^ bits[leader]) <= radius)
+        link(np.full(len(near), leader), near)
+        outside = np.flatnonzero(forest.root != 0)
+        if not len(outside):
+            break
+        leader = outside[0]
+    if forest.root.any():
+        for query, found in BKTree(values).links(radius):
+            link(query, found)
+    root = forest.root
     tied = root < np.arange(len(values))
     return values[tied], values[root[tied]]
 
@@ -148,6 +184,97 @@ def near_links(distinct: DataFrame, radius: int = 2, blocks: int = 8) -> DataFra
     return shards.select("members").mapInArrow(search, "a long, b long")
 
 
+#: Minhash bands of a text and rows of each: two texts of similarity 0.8 share one of 14 bands of 4 with probability 0.9994.
+BANDS, ROWS = 14, 4
+#: Members of a shard that one task searches, about; a larger shard is cut into pairs of parts.
+SHARD_MEMBERS = 4096
+
+
+@dataclass(frozen=True)
+class Similarity:
+    """Near copies by similarity of word shingles rather than by a narrow radius.
+
+    At Jaccard similarity 0.8 of two shingle sets, the vectors' angle makes a fingerprint
+    bit differ with probability 0.15, so about 10 of 64 bits differ, and 18 at most in 99 of
+    100 pairs. No choice of equal blocks can shard such a radius; shards are bands of
+    minhash values instead. A shard's BK-tree is searched with ``radius``, and a link
+    needs ``agreement`` of the minhash values too, which texts that merely share a
+    passage do not reach.
+    """
+
+    shingle: int = 5
+    radius: int = 18
+    agreement: float = 0.6
+
+
+_random = np.random.default_rng(SEED)
+_MULTIPLIERS = _random.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def signatures(texts: list[bytes | None], shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fingerprints, band keys (n, BANDS) and sketches (n, BANDS * ROWS) - a byte of each minhash - of texts."""
+    hashes = [shingle_hashes(text, shingle) for text in texts]
+    prints = np.array([fingerprint(h) for h in hashes], np.int64)
+    least = np.zeros((len(texts), BANDS * ROWS), np.uint64)
+    filled = np.array([i for i, h in enumerate(hashes) if len(h)], np.int64)
+    if len(filled):
+        starts = np.cumsum([0, *(len(hashes[i]) for i in filled[:-1])])
+        joined = np.concatenate([hashes[i] for i in filled])
+        for j, multiplier in enumerate(_MULTIPLIERS):
+            least[filled, j] = np.minimum.reduceat(joined * multiplier, starts)
+    mixed = (least ^ (least >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+    keys = np.zeros((len(texts), BANDS), np.uint64)
+    for j in range(ROWS):
+        keys = keys * np.uint64(0xBF58476D1CE4E5B9) + mixed[:, j::ROWS]
+    return prints, keys.astype(np.int64), (mixed >> np.uint64(56)).astype(np.uint8)
+
+
+def similar_links(distinct: DataFrame, how: Similarity) -> DataFrame:
+    """Links (a, b) that span the components of ``distinct`` (fingerprint, keys, sketch)."""
+    banded = distinct.select("fingerprint", "sketch", F.posexplode("keys").alias("band", "key"))
+    sizes = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    met = banded.join(sizes, ["band", "key"])
+    # Each pair of a large shard's parts is a shard of its own, so that no task holds more than two parts.
+    parts = F.ceil(F.col("members") / SHARD_MEMBERS)
+    own = F.pmod(F.xxhash64("fingerprint", "band"), parts)
+    other = F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))
+    dealt = met.withColumn("own", own).withColumn("other", other).select(
+        "band", "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.struct("fingerprint", "sketch").alias("m")
+    )
+    shards = dealt.groupBy("band", "key", "low", "high").agg(F.collect_list("m").alias("members")).where(F.size("members") > 1)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            members = batch.column(0)
+            flat, offsets = members.flatten(), np.asarray(members.offsets)
+            offsets = offsets - offsets[0]
+            prints = flat.field("fingerprint").to_numpy()
+            sketches = np.frombuffer(b"".join(flat.field("sketch").to_pylist()), np.uint8).reshape(len(prints), -1)
+            out = [shard_forest(prints[a:b], how.radius, sketches[a:b], how.agreement) for a, b in itertools.pairwise(offsets.tolist())]
+            a, b = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 2
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return shards.select("members").mapInArrow(search, "a long, b long")
+
+
+def similar_groups(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame:
+    """As ``near_dedup``, (doc_id, fingerprint as long, component_id) by similarity; equal fingerprints are one."""
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                prints, keys, sketches = signatures(batch.column(1).to_pylist(), how.shingle)
+                lists = pa.ListArray.from_arrays(np.arange(len(keys) + 1, dtype=np.int32) * BANDS, pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints), lists, pa.array([s.tobytes() for s in sketches], pa.binary())], ["doc_id", "fingerprint", "keys", "sketch"])
+
+    rows = staged(rows.mapInArrow(signed, f"doc_id {kind}, fingerprint long, keys array<long>, sketch binary"), "signatures")
+    distinct = staged(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first"), F.min(F.struct("keys", "sketch")).alias("s")).select("fingerprint", "first", "s.*"), "signature-groups")
+    return _labelled(rows.select("doc_id", "fingerprint"), distinct.select("fingerprint", "first"), similar_links(distinct, how))
+
+
 def fingerprint_rows(docs: DataFrame, shingle: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, fingerprint as long) of each row."""
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("binary").alias("text"))
@@ -171,20 +298,26 @@ def near_dedup(docs: DataFrame, shingle: int = 3, radius: int = 2, blocks: int =
     """
     rows = staged(fingerprint_rows(docs, shingle), "fingerprints")
     distinct = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first"))
-    labels = connected_components(near_links(distinct.select("fingerprint"), radius, blocks))
+    found = _labelled(rows, distinct, near_links(distinct.select("fingerprint"), radius, blocks))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _labelled(rows: DataFrame, distinct: DataFrame, links: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, fingerprint) with the smallest id of their component; ``distinct`` holds each fingerprint's first id."""
+    labels = connected_components(links)
     grouped = distinct.join(labels.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
     grouped = grouped.withColumn("component", F.coalesce("component", "fingerprint"))
     smallest = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
     found = staged(grouped.join(smallest, "component").select("fingerprint", "component_id"), "near-groups")
-    return rows.join(found, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(found, "fingerprint")
 
 
-def one_of_each_group(docs: DataFrame, shingle: int = 3, radius: int = 2, blocks: int = 8) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that stand for their group: those with its smallest id.
+def one_of_each_group(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stand for their group of near copies: those with its smallest id.
 
     Rows with one id are one document, of which one row stays.
     """
-    labels = staged(near_dedup(docs, shingle, radius, blocks).select("doc_id", "component_id"), "near-labels")
+    labels = staged(similar_groups(docs, how).select("doc_id", "component_id"), "near-labels")
     ids = labels.groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"), F.count(F.lit(1)).alias("rows"))
     ids = staged(ids.where("NOT stays OR rows > 1").select(F.col("doc_id").alias("__id__"), "stays"), "near-ids")
     met = F.col("doc_id").eqNullSafe(F.col("__id__"))

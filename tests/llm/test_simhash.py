@@ -97,6 +97,62 @@ def test_brute_force(documents, clashing):
     assert len({c for *_, c in want}) < len(rows) - 5
 
 
+def jaccard(a, b, n=5):
+    x, y = ({tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} for w in ((t or "").lower().split() for t in (a, b)))
+    return len(x & y) / len(x | y)
+
+
+def near_copies():
+    """Originals and copies with one word changed (similarity of 0.9 and more), and texts that share a passage of 60 words."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    passage = [word() for _ in range(60)]
+    rows, groups = [], []
+    for i in range(40):
+        words = [word() for _ in range(rng.choice([120, 300]))]
+        copies = [words]
+        for _ in range(3):
+            copy = list(words)
+            copy[rng.randrange(len(copy))] = word()
+            copies.append(copy)
+        groups.append([])
+        for copy in copies:
+            groups[-1].append(len(rows))
+            rows.append((len(rows), " ".join(copy)))
+    alone = len(rows)
+    for _ in range(20):
+        rows.append((len(rows), " ".join([word() for _ in range(80)] + passage + [word() for _ in range(80)])))
+    return rows, groups, alone
+
+
+def test_near_copies_are_found_and_clean_texts_left_alone(documents):
+    rows, groups, alone = near_copies()
+    assert all(jaccard(rows[g[0]][1], rows[m][1]) >= 0.8 for g in groups for m in g)
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(documents(rows)).collect()}
+    for group in groups:
+        assert {got[m] for m in group} == {group[0]}
+    assert all(got[i] == i for i in range(alone, len(rows)))
+
+
+def test_large_shards_are_cut_without_losing_links(documents, monkeypatch):
+    rows, groups, _ = near_copies()
+    docs = documents(rows)
+    whole = sorted(map(tuple, simhash.similar_groups(docs).select("doc_id", "component_id").collect()))
+    monkeypatch.setattr(simhash, "SHARD_MEMBERS", 2)
+    assert sorted(map(tuple, simhash.similar_groups(docs).select("doc_id", "component_id").collect())) == whole
+
+
+def test_forest_of_a_dense_shard_equals_all_links():
+    rng = random.Random(3)
+    for spread in (3, 9):
+        seeds = [rng.getrandbits(64) for _ in range(3)]
+        values = np.unique(np.array([near(rng.choice(seeds), rng.randint(0, spread), rng) for _ in range(250)], np.uint64)).astype(np.int64)
+        tied, root = simhash.shard_forest(values, 4)
+        got = dict(zip(tied.tolist(), root.tolist(), strict=True))
+        want = components([int(v) for v in values], [int(v) % (1 << 64) for v in values], 4)
+        assert [got.get(int(v), int(v)) for v in values] == want
+
+
 def test_one_of_each_group(documents, clashing):
     rows = [(4, "a b c d"), (2, "A B C D"), (9, "other words are here"), (9, "other words are here"), (None, "only null"), (None, "only null"), (6, None), (5, "")]
     docs = clashing(documents(rows))
