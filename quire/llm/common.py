@@ -44,6 +44,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(df: DataFrame, rows: int = 2000) -> None:
+    """Lowers Spark's default of 10,000 rows an Arrow batch, which tasks on whole texts hold several copies of; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(df.sparkSession.conf.get(name)) > rows:
+        df.sparkSession.conf.set(name, str(rows))
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.common import bounded_batches
+
 #: Share of an item's characters that may be edited.
 RATE = 0.1
 #: Characters of a block of items.
@@ -212,6 +214,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, bloc
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs``, with all their columns, that no item occurs in; rows are filtered where they were read."""
+    bounded_batches(docs)
     for block in item_blocks(benchmark, block_chars):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import id_crc
+from quire.llm.common import bounded_batches, id_crc
 
 UNDETERMINED = "und"
 _letter = re.compile(r"[^\W\d_]")
@@ -243,6 +243,7 @@ def identify(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
 def with_known_language(docs: DataFrame, least_score: float, settings: Settings = Settings()) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose language is determined with at least that score."""
+    bounded_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(train(labelled_sample(docs, settings), settings))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

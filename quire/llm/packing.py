@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.common import bounded_batches
 from quire.llm.token_count import PartTable, Splitter
 
 #: Tokens of a block, about: what one packing holds in memory.
@@ -116,6 +117,7 @@ def pack(docs: DataFrame, model_file: str, length: int = 2048, end_id: int | Non
     like any other; their segments follow each other. Other columns are ignored; an empty
     table gives no rows.
     """
+    bounded_batches(docs)
     rows = docs.select(F.col("doc_id").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     ending = b"" if end_id is None else np.array([end_id], "<u2").tobytes()

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import staged
+from quire.llm.common import bounded_batches, staged
 from quire.llm.graph import connected_components
 
 SEED = 42
@@ -259,6 +259,7 @@ def similar_links(distinct: DataFrame, how: Similarity) -> DataFrame:
 
 def similar_groups(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame:
     """As ``near_dedup``, (doc_id, fingerprint as long, component_id) by similarity; equal fingerprints are one."""
+    bounded_batches(docs)
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 #: The model's mark for a space.
 MARK = "▁"
 #: Pre-tokens remembered per process; beyond it the table starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 
 
 class Splitter:
