@@ -11,11 +11,13 @@ exclusion terms are worked out beforehand, and a symbol whose full context is kn
 one lookup.
 
 Counts of (order + 1)-grams and of words are gathered in one pass, combined within each
-task, and summed by a shuffle, over all training texts. What scoring tasks hold of them is
-bounded: the trie keeps the nodes that occur most often, at most ``nodes`` of them, and
-what a context lost this way adds to its escape count; shorter contexts keep the full
-counts. Of the words, the most frequent ``words`` at most are looked up in memory and all
-others are joined, so each word's exact count is used however many words there are.
+task, and summed by a shuffle, over all training texts. All of them are used for scoring,
+however many there are. The trie is cut into parts by the last bytes of the contexts: a
+context and the shorter ones it escapes to end alike, so a part holds all that its grams
+need, but for the shortest contexts, whose number is bounded and which every part gets.
+Texts are dealt into chunks; the distinct grams of a chunk travel to their parts, their
+probabilities travel back to the chunk's texts. Of the words, the most frequent ``words``
+at most are looked up in memory and all others are joined.
 """
 
 from __future__ import annotations
@@ -28,21 +30,29 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from quire.llm.common import id_crc, staged
+from quire.llm.common import bounded_batches, id_crc, staged
 
 PAD, END, SYMBOLS = 0xFE, 0xFF, 255
 #: Longer words are known by their digest, which a blank keeps apart from words.
 LONGEST_WORD = 64
 #: Codes sorted at once, words counted before they are passed on.
 CODES_AT_ONCE, WORDS_AT_ONCE = 1 << 21, 400_000
+#: The trie is dealt by so many last bytes of a context; shorter contexts are in every part.
+SUFFIX = 3
+#: Distinct grams of a chunk of texts, about, and those that travel in a row.
+CHUNK_GRAMS, GRAMS_IN_ROW = 1 << 20, 4096
 
 
 @dataclass(frozen=True)
 class Settings:
+    """``nodes``: of the trie, in a part, about; ``words``: looked up in memory, the others are joined."""
+
     order: int = 5
     nodes: int = 1_500_000
     words: int = 200_000
@@ -150,6 +160,47 @@ def _find(among: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, among[at] == codes
 
 
+class Table:
+    """Open addressing over distinct codes; all keys are placed together, round by round."""
+
+    def __init__(self, codes: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(len(codes) * 2).bit_length())
+        size = 1 << self.bits
+        # No code is all ones: an END is always the last symbol.
+        self.keys, self.values = np.full(size, np.iinfo(np.uint64).max, np.uint64), np.zeros(size, np.float32)
+        rest, slot = np.arange(len(codes)), self._slot(codes)
+        while len(rest):
+            free = self.keys[slot] == np.iinfo(np.uint64).max
+            taken, chosen = np.unique(slot[free], return_index=True)
+            placed = rest[free][chosen]
+            self.keys[taken], self.values[taken] = codes[placed], values[placed]
+            left = np.ones(len(rest), bool)
+            left[np.flatnonzero(free)[chosen]] = False
+            rest, slot = rest[left], (slot[left] + 1) & (size - 1)
+
+    def _slot(self, codes: np.ndarray) -> np.ndarray:
+        return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values of the codes, and the places of codes that have none."""
+        out = np.empty(len(codes), np.float32)
+        slot = self._slot(codes)
+        key = self.keys[slot]
+        hit = key == codes
+        out[:] = self.values[slot]
+        open_ = np.flatnonzero(~hit & (key != np.iinfo(np.uint64).max))
+        absent = [np.flatnonzero(~hit & (key == np.iinfo(np.uint64).max))]
+        slot = slot[open_]
+        while len(open_):
+            slot = (slot + 1) & (len(self.keys) - 1)
+            key = self.keys[slot]
+            hit, empty = key == codes[open_], key == np.iinfo(np.uint64).max
+            out[open_[hit]] = self.values[slot[hit]]
+            absent.append(open_[empty])
+            open_, slot = open_[~hit & ~empty], slot[~hit & ~empty]
+        return out, np.concatenate(absent)
+
+
 class Trie:
     """The context trie: ``levels`` holds, for each order from 0, the sorted codes of contexts with their symbol, and counts."""
 
@@ -195,47 +246,12 @@ class Trie:
             self.escape_below.append(escape_below)
             upper = context, total, different.astype(np.float64), lost
         self.unknown = -np.log10(max(1, SYMBOLS - len(self.codes[0])))
-        self._table()
-
-    def _table(self) -> None:
-        """Open addressing over the full contexts' nodes; all keys are placed together, round by round."""
-        codes, values = self.codes[-1], self.first[-1]
-        self.bits = max(4, int(len(codes) * 2).bit_length())
-        size = 1 << self.bits
-        # No code is all ones: an END is always the last symbol.
-        self.keys, self.values = np.full(size, np.iinfo(np.uint64).max, np.uint64), np.zeros(size, np.float32)
-        rest, slot = np.arange(len(codes)), self._slot(codes)
-        while len(rest):
-            free = self.keys[slot] == np.iinfo(np.uint64).max
-            taken, chosen = np.unique(slot[free], return_index=True)
-            placed = rest[free][chosen]
-            self.keys[taken], self.values[taken] = codes[placed], values[placed]
-            left = np.ones(len(rest), bool)
-            left[np.flatnonzero(free)[chosen]] = False
-            rest, slot = rest[left], (slot[left] + 1) & (size - 1)
-
-    def _slot(self, codes: np.ndarray) -> np.ndarray:
-        return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+        self.table = Table(self.codes[-1], self.first[-1])
 
     def log10_probability(self, codes: np.ndarray) -> np.ndarray:
         """Of each symbol after its context, both in the (order + 1)-byte code."""
-        out = np.empty(len(codes), np.float32)
-        slot = self._slot(codes)
-        key = self.keys[slot]
-        hit = key == codes
-        out[:] = self.values[slot]
-        open_ = np.flatnonzero(~hit & (key != np.iinfo(np.uint64).max))
-        absent = [np.flatnonzero(~hit & (key == np.iinfo(np.uint64).max))]
-        slot = slot[open_]
-        while len(open_):
-            slot = (slot + 1) & (len(self.keys) - 1)
-            key = self.keys[slot]
-            hit, empty = key == codes[open_], key == np.iinfo(np.uint64).max
-            out[open_[hit]] = self.values[slot[hit]]
-            absent.append(open_[empty])
-            open_, slot = open_[~hit & ~empty], slot[~hit & ~empty]
-        rest = np.concatenate(absent)
-        out[rest] = self._escaped(codes[rest])
+        out, absent = self.table.find(codes)
+        out[absent] = self._escaped(codes[absent])
         return out
 
     def _escaped(self, codes: np.ndarray) -> np.ndarray:
@@ -265,36 +281,74 @@ class Trie:
         out[active] += self.unknown
         return out
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each lower-cased text, its end included."""
-        out = np.zeros(len(texts))
-        for first, run in _slices(texts, CODES_AT_ONCE // 8):
-            found = self.log10_probability(gram_codes(run, self.order))
-            ends = np.cumsum([len(text) + 1 for text in run])
-            out[first : first + len(run)] = np.add.reduceat(found.astype(np.float64), np.r_[0, ends[:-1]])
-        return out
 
+def score(table: Table, texts: list[bytes], order: int) -> np.ndarray:
+    """log10 probability of each lower-cased text, its end included, from that of each of its grams."""
+    out = np.zeros(len(texts))
+    for first, run in _slices(texts, CODES_AT_ONCE // 8):
+        found, absent = table.find(gram_codes(run, order))
+        if len(absent):
+            raise ValueError(f"{len(absent)} grams of a chunk have no probability")
+        ends = np.cumsum([len(text) + 1 for text in run])
+        out[first : first + len(run)] = np.add.reduceat(found.astype(np.float64), np.r_[0, ends[:-1]])
+    return out
 
-def build_trie(grams: DataFrame, texts: int, settings: Settings) -> Trie:
-    """The trie of gram counts (gram, n): nodes of every order, the most frequent ``nodes`` at most."""
-    orders = range(settings.order + 1)
-    suffixes = F.explode(F.array(*(F.struct(F.lit(j).alias("level"), F.col("gram").bitwiseAND(F.lit((1 << (8 * j + 8)) - 1)).alias("code")) for j in orders)))
-    nodes = staged(grams.select(suffixes.alias("s"), "n").groupBy("s").agg(F.sum("n").alias("n")).select("s.*", "n"), "ppm-nodes")
-    kept = nodes.where(F.col("n") >= threshold(nodes, settings.nodes)).toArrow()
-    level, code, n = (kept.column(c).to_numpy() for c in ("level", "code", "n"))
-    levels = []
-    for j in orders:
-        own = level == j
-        order = np.argsort(code[own])
-        levels.append((code[own][order].astype(np.uint64), n[own][order]))
-    return Trie(levels, texts)
 
+def level(codes: np.ndarray, counts: np.ndarray, j: int) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of order ``j``, sorted, with their counts, from codes of a higher order."""
+    return _merged([(codes & mask(j + 1), counts)]) if len(codes) else (codes, counts)
 
-def held_out(id_column: str = "doc_id") -> Column:
-    return id_crc(id_column) % 5 == 1
+
+def shared_levels(grams: DataFrame, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The levels of the orders below SUFFIX, which every part gets."""
+    most = min(order, SUFFIX)
+    table = grams.groupBy(F.col("gram").bitwiseAND(F.lit((1 << (8 * most)) - 1)).alias("code")).agg(F.sum("n").alias("n")).toArrow()
+    codes, counts = table.column(0).to_numpy().astype(np.uint64), table.column(1).to_numpy()
+    return [level(codes, counts, j) for j in range(most)]
+
+
+def part_of(codes: np.ndarray, order: int, parts: int) -> np.ndarray:
+    """The part of the trie that knows a gram; ``part_column`` is the same."""
+    suffix = (codes >> np.uint64(8)) & mask(min(order, SUFFIX))
+    return (((suffix * np.uint64(2654435761)) >> np.uint64(8)) & mask(3)).astype(np.int64) % parts
 
 
-_tries: list[tuple[object, Trie]] = []
+def part_column(gram: Column, order: int, parts: int) -> Column:
+    suffix = F.shiftright(gram, 8).bitwiseAND(F.lit((1 << (8 * min(order, SUFFIX))) - 1))
+    return (F.shiftright(suffix * F.lit(2654435761), 8).bitwiseAND(F.lit((1 << 24) - 1)) % F.lit(parts)).cast("int")
+
+
+def gram_probabilities(asked: DataFrame, grams: DataFrame, texts: int, order: int, parts: int) -> DataFrame:
+    """(chunk, grams, found): packed log10 probabilities of the packed grams of ``asked`` (part, chunk, grams) by the counts of ``grams`` (gram, n)."""
+    shared = grams.sparkSession.sparkContext.broadcast(shared_levels(grams, order))
+    rows = grams.select(part_column(F.col("gram"), order, parts).alias("part"), F.lit(None).cast("long").alias("chunk"), F.lit(None).cast("binary").alias("grams"), "gram", "n")
+    rows = rows.unionByName(asked.select("part", "chunk", "grams"), allowMissingColumns=True)
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, counts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        trie = None
+        for batch in batches:
+            # A part's counts come before what is asked of it.
+            model = batch.filter(pc.is_valid(batch.column(3)))
+            codes.append(model.column(3).to_numpy().astype(np.uint64))
+            counts.append(model.column(4).to_numpy())
+            batch = batch.filter(pc.is_valid(batch.column(1)))
+            if not batch.num_rows:
+                continue
+            if trie is None:
+                own, n = np.concatenate(codes), np.concatenate(counts)
+                trie = Trie(shared.value + [level(own, n, j) for j in range(len(shared.value), order + 1)], texts)
+            packed = batch.column(2).to_pylist()
+            sizes = [len(x) // 8 for x in packed]
+            found = np.split(trie.log10_probability(np.frombuffer(b"".join(packed), np.uint64)), np.cumsum(sizes)[:-1])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([x.tobytes() for x in found], pa.binary())], ["chunk", "grams", "found"])
+
+    dealt = rows.repartitionById(parts, F.col("part")).sortWithinPartitions(F.col("chunk").asc_nulls_first())
+    return dealt.mapInArrow(look_up, "chunk long, grams binary, found binary")
+
+
+def held_out(id_column: str = "doc_id") -> Column:
+    return id_crc(id_column) % 5 == 1
 
 
 def score_texts(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -306,6 +360,7 @@ def score_texts(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
+    bounded_batches(docs)
     counts = staged(gather_counts(docs, ~held_out(), settings.order), "lm-counts")
     words = counts.where(F.col("word").isNotNull()).select("word", "n")
     total, different, texts = words.agg(F.sum("n"), F.count(F.lit(1)), F.sum(F.when(F.length("word") == 0, F.col("n")))).first()
@@ -314,17 +369,33 @@ def score_texts(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     common = threshold(words, settings.words)
     table = words.where(F.col("n") >= common).toArrow()
     known = dict(zip(table.column(0).to_pylist(), np.log10((table.column(1).to_numpy() + 0.5) / divisor).tolist(), strict=True))
-    trie = build_trie(counts.where(F.col("gram").isNotNull()).select("gram", "n"), texts, settings)
-    shared = spark.sparkContext.broadcast((known, trie))
+    grams = counts.where(F.col("gram").isNotNull()).select("gram", "n")
+    order = settings.order
+    parts = max(1, -(-grams.count() * (order + 1) // settings.nodes))
+    shared = spark.sparkContext.broadcast(known)
     end_score = float(np.log10((texts + 0.5) / divisor))
     rows = docs.select("doc_id", held_out().alias("held_out"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
+    kind = rows.schema["doc_id"].dataType
     rare = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, trie = shared.value
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
         get = known.get
         row = TaskContext.get().partitionId() << 40
+        chunk = TaskContext.get().partitionId() << 24
+        held: list[np.ndarray] = []
+
+        def asked_rows() -> Iterator[pa.RecordBatch]:
+            codes = np.unique(np.concatenate(held))
+            held.clear()
+            part = part_of(codes, order, parts)
+            place = np.argsort(part, kind="stable")
+            codes, part = codes[place], part[place]
+            cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(codes)]
+            spans = [(i, min(i + GRAMS_IN_ROW, b)) for a, b in itertools.pairwise(cuts) for i in range(a, b, GRAMS_IN_ROW)]
+            columns = {"chunk": pa.array([chunk] * len(spans), pa.int64()), "part": pa.array([part[a] for a, _ in spans], pa.int32()), "grams": pa.array([codes[a:b].tobytes() for a, b in spans], pa.binary())}
+            yield pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(len(spans), f.type)) for f in fields], schema=fields)
+
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
@@ -345,20 +416,58 @@ def score_texts(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
                         column.append(value)
                 ids = np.arange(row, row + len(lower))
                 row += len(lower)
-                n_tokens, n_known, base_score, others = columns
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids), batch.column(0), batch.column(1), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base_score, pa.float64()), pa.array(trie.score(lower)), pa.array(others, rare)],
-                    ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "others"],
-                )
-
-    schema = f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, others array<struct<word:binary,n:long>>"
-    scored = staged(rows.mapInArrow(score, schema), "lm-scores")
-    pairs = scored.select("row", F.explode("others").alias("o")).select("row", "o.word", F.col("o.n").alias("times"))
-    met = pairs.join(words.where(F.col("n") < common), "word", "left")
+                made = [pa.array([chunk] * len(ids), pa.int64()), pa.array(ids), batch.column(0), batch.column(1), *map(pa.array, columns[:3], (pa.int64(), pa.int64(), pa.float64())), pa.array(columns[3], rare), pa.array(lower, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*made, pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], schema=fields)
+                for _, run in _slices(lower, CODES_AT_ONCE):
+                    held.append(np.unique(gram_codes(run, order)))
+                    if sum(map(len, held)) > 2 * CHUNK_GRAMS:
+                        held[:] = [np.unique(np.concatenate(held))]
+                if sum(map(len, held)) > CHUNK_GRAMS:
+                    held[:] = [np.unique(np.concatenate(held))]
+                    if len(held[0]) > CHUNK_GRAMS:
+                        yield from asked_rows()
+                        chunk += 1
+        if held:
+            yield from asked_rows()
+
+    scored = "row long, doc_id {}, held_out boolean, n_tokens long, n_known long, base_score double".format(kind.simpleString())
+    schema = f"chunk long, {scored}, others array<struct<word:binary,n:long>>, text binary, part int, grams binary"
+    kinds = [pa.int64(), pa.int64(), to_arrow_type(kind), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), rare, pa.binary(), pa.int32(), pa.binary()]
+    fields = pa.schema(list(zip("chunk row doc_id held_out n_tokens n_known base_score others text part grams".split(), kinds, strict=True)))
+    read_rows = staged(rows.mapInArrow(read, schema), "lm-texts")
+    asked = read_rows.where(F.col("grams").isNotNull()).select("part", "chunk", "grams")
+    chunks = sorted(r.chunk for r in asked.select("chunk").distinct().collect())
+    places = F.broadcast(spark.createDataFrame(list(zip(chunks, range(len(chunks)), strict=True)), "chunk long, place int"))
+    found = gram_probabilities(asked, grams, texts, order, parts)
+    met = read_rows.where(F.col("row").isNotNull()).drop("others", "part", "grams").unionByName(found, allowMissingColumns=True).join(places, "chunk")
+    dealt = met.repartitionById(max(1, len(chunks)), F.col("place")).sortWithinPartitions(F.col("row").asc_nulls_first())
+    names = [f.split()[0] for f in scored.split(", ")]
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, values, table = [], [], None
+        for batch in batches:
+            # A chunk's grams come before its texts.
+            of_texts = pc.is_valid(batch.column(0))
+            packed = batch.filter(pc.invert(of_texts))
+            codes += packed.column(len(names) + 1).to_pylist()
+            values += packed.column(len(names) + 2).to_pylist()
+            batch = batch.filter(of_texts)
+            if not batch.num_rows:
+                continue
+            if table is None:
+                table = Table(np.frombuffer(b"".join(codes), np.uint64), np.frombuffer(b"".join(values), np.float32))
+                codes.clear()
+                values.clear()
+            out = pa.array(score(table, batch.column(len(names)).to_pylist(), order))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], out], [*names, "score"])
+
+    result = dealt.select(*names, "text", "grams", "found").mapInArrow(finish, f"{scored}, score double")
+    pairs = read_rows.where(F.col("row").isNotNull()).select("row", F.explode("others").alias("o")).select("row", "o.word", F.col("o.n").alias("times"))
+    met_words = pairs.join(words.where(F.col("n") < common), "word", "left")
     word_score = F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 0.5) / divisor)
-    more = met.groupBy("row").agg(F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_known"), F.sum(word_score).alias("more_score"))
+    more = met_words.groupBy("row").agg(F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_known"), F.sum(word_score).alias("more_score"))
     return (
-        scored.drop("others").join(more, "row", "left")
+        result.join(more, "row", "left")
         .select(
             "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
             (F.col("base_score") + F.coalesce("more_score", F.lit(0.0))).alias("base_score"), "score",

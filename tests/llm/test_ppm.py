@@ -106,6 +106,16 @@ def test_pruned_trie_and_joined_words_are_bounded(documents):
         assert r.base_score == pytest.approx(full[doc].base_score) and r.n_known == full[doc].n_known and math.isfinite(r.score)
 
 
+def test_scores_do_not_depend_on_the_bounds(documents, monkeypatch):
+    random.seed(4)
+    rows = [(i, TEXTS[i % len(TEXTS)]) for i in range(40)] + [(40 + i, "".join(random.choices("abcdefg é", k=80))) for i in range(40)]
+    want = {r[0]: r[-1] for r in expected(rows, 5)}
+    monkeypatch.setattr(ppm, "CHUNK_GRAMS", 100, raising=False)
+    monkeypatch.setattr(ppm, "GRAMS_IN_ROW", 7, raising=False)
+    got = {r.doc_id: r.score for r in ppm.score_texts(documents(rows).repartition(3), ppm.Settings(nodes=600, words=1)).collect()}
+    assert got == pytest.approx(want, rel=1e-5)
+
+
 def test_empty_and_untrained(documents):
     assert ppm.score_texts(documents([])).collect() == []
     only = next(i for i in range(100) if held(i))
