@@ -62,7 +62,7 @@ def fingerprints(texts: list[bytes | None], shingle: int = 3) -> np.ndarray:
 
 
 class BKTree:
-    """A BK-tree over distinct 64-bit values; children are keyed by integer Hamming distance to the parent."""
+    """A BK-tree over 64-bit values; children are keyed by integer Hamming distance to the parent, equal ones by zero."""
 
     def __init__(self, values: np.ndarray):
         self.values = values.astype(np.uint64)
@@ -93,7 +93,7 @@ class BKTree:
                 followed = []
                 for step in range(-radius, radius + 1):
                     edge = distance + step
-                    fits = (edge >= 1) & (edge <= 64)
+                    fits = (edge >= 0) & (edge <= 64)
                     below = np.where(fits, self.child[node, np.clip(edge, 0, 64)], -1)
                     followed.append((query[below >= 0], below[below >= 0]))
                 query, node = (np.concatenate(x).astype(np.int64) for x in zip(*followed, strict=True))
@@ -118,15 +118,17 @@ class _Forest:
                 root[:] = root[root]
 
 
-def shard_forest(values: np.ndarray, radius: int, sketches: np.ndarray | None = None, agreement: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+def shard_forest(values: np.ndarray, radius: int, sketches: np.ndarray | None = None, agreement: float = 0.0, nodes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest (value, smallest value of its component) of the links within a shard of distinct values.
 
     With ``sketches``, a row for each value, a link also needs that share of equal places.
+    With ``nodes``, a distinct number for each value, values may repeat and the forest is one of nodes.
     Dense shards are often one component; a few whole rows of distances show that without
     a search.
     """
     order = np.argsort(values)
     values = values[order]
+    nodes = values if nodes is None else nodes[order]
     sketches = None if sketches is None else sketches[order]
     forest = _Forest(len(values))
 
@@ -149,7 +151,7 @@ def shard_forest(values: np.ndarray, radius: int, sketches: np.ndarray | None =
             link(query, found)
     root = forest.root
     tied = root < np.arange(len(values))
-    return values[tied], values[root[tied]]
+    return nodes[tied], nodes[root[tied]]
 
 
 def shard_keys(blocks: int, radius: int) -> list[int]:
@@ -211,11 +213,10 @@ _random = np.random.default_rng(SEED)
 _MULTIPLIERS = _random.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def signatures(texts: list[bytes | None], shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Fingerprints, band keys (n, BANDS) and sketches (n, BANDS * ROWS) - a byte of each minhash - of texts."""
-    hashes = [shingle_hashes(text, shingle) for text in texts]
+def signatures(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fingerprints, band keys (n, BANDS) and sketches (n, BANDS * ROWS) - a byte of each minhash - of texts' sets of shingle hashes."""
     prints = np.array([fingerprint(h) for h in hashes], np.int64)
-    least = np.zeros((len(texts), BANDS * ROWS), np.uint64)
+    least = np.zeros((len(hashes), BANDS * ROWS), np.uint64)
     filled = np.array([i for i, h in enumerate(hashes) if len(h)], np.int64)
     if len(filled):
         starts = np.cumsum([0, *(len(hashes[i]) for i in filled[:-1])])
@@ -223,23 +224,23 @@ def signatures(texts: list[bytes | None], shingle: int) -> tuple[np.ndarray, np.
         for j, multiplier in enumerate(_MULTIPLIERS):
             least[filled, j] = np.minimum.reduceat(joined * multiplier, starts)
     mixed = (least ^ (least >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
-    keys = np.zeros((len(texts), BANDS), np.uint64)
+    keys = np.zeros((len(hashes), BANDS), np.uint64)
     for j in range(ROWS):
         keys = keys * np.uint64(0xBF58476D1CE4E5B9) + mixed[:, j::ROWS]
     return prints, keys.astype(np.int64), (mixed >> np.uint64(56)).astype(np.uint8)
 
 
 def similar_links(distinct: DataFrame, how: Similarity) -> DataFrame:
-    """Links (a, b) that span the components of ``distinct`` (fingerprint, keys, sketch)."""
-    banded = distinct.select("fingerprint", "sketch", F.posexplode("keys").alias("band", "key"))
+    """Links (a, b) that span the components of ``distinct`` (node, fingerprint, keys, sketch)."""
+    banded = distinct.select("node", "fingerprint", "sketch", F.posexplode("keys").alias("band", "key"))
     sizes = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     met = banded.join(sizes, ["band", "key"])
     # Each pair of a large shard's parts is a shard of its own, so that no task holds more than two parts.
     parts = F.ceil(F.col("members") / SHARD_MEMBERS)
-    own = F.pmod(F.xxhash64("fingerprint", "band"), parts)
+    own = F.pmod(F.xxhash64("node", "band"), parts)
     other = F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))
     dealt = met.withColumn("own", own).withColumn("other", other).select(
-        "band", "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.struct("fingerprint", "sketch").alias("m")
+        "band", "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.struct("node", "fingerprint", "sketch").alias("m")
     )
     shards = dealt.groupBy("band", "key", "low", "high").agg(F.collect_list("m").alias("members")).where(F.size("members") > 1)
 
@@ -248,9 +249,9 @@ def similar_links(distinct: DataFrame, how: Similarity) -> DataFrame:
             members = batch.column(0)
             flat, offsets = members.flatten(), np.asarray(members.offsets)
             offsets = offsets - offsets[0]
-            prints = flat.field("fingerprint").to_numpy()
+            nodes, prints = flat.field("node").to_numpy(), flat.field("fingerprint").to_numpy()
             sketches = np.frombuffer(b"".join(flat.field("sketch").to_pylist()), np.uint8).reshape(len(prints), -1)
-            out = [shard_forest(prints[a:b], how.radius, sketches[a:b], how.agreement) for a, b in itertools.pairwise(offsets.tolist())]
+            out = [shard_forest(prints[a:b], how.radius, sketches[a:b], how.agreement, nodes[a:b]) for a, b in itertools.pairwise(offsets.tolist())]
             a, b = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 2
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
@@ -258,7 +259,10 @@ def similar_links(distinct: DataFrame, how: Similarity) -> DataFrame:
 
 
 def similar_groups(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame:
-    """As ``near_dedup``, (doc_id, fingerprint as long, component_id) by similarity; equal fingerprints are one."""
+    """As ``near_dedup``, (doc_id, fingerprint as long, component_id) by similarity; texts of one set of shingles are one.
+
+    Fingerprints are those of the distinct shingles, so that a repeated line doesn't outvote the rest of a text.
+    """
     bounded_batches(docs)
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -267,13 +271,16 @@ def similar_groups(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
-                prints, keys, sketches = signatures(batch.column(1).to_pylist(), how.shingle)
+                sets = [np.unique(shingle_hashes(text, how.shingle)) for text in batch.column(1).to_pylist()]
+                nodes = np.array([xxhash.xxh64_intdigest(own.tobytes(), SEED) for own in sets], np.uint64).astype(np.int64)
+                prints, keys, sketches = signatures(sets)
                 lists = pa.ListArray.from_arrays(np.arange(len(keys) + 1, dtype=np.int32) * BANDS, pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints), lists, pa.array([s.tobytes() for s in sketches], pa.binary())], ["doc_id", "fingerprint", "keys", "sketch"])
+                columns = [batch.column(0), pa.array(nodes), pa.array(prints), lists, pa.array([x.tobytes() for x in sketches], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "fingerprint", "keys", "sketch"])
 
-    rows = staged(rows.mapInArrow(signed, f"doc_id {kind}, fingerprint long, keys array<long>, sketch binary"), "signatures")
-    distinct = staged(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first"), F.min(F.struct("keys", "sketch")).alias("s")).select("fingerprint", "first", "s.*"), "signature-groups")
-    return _labelled(rows.select("doc_id", "fingerprint"), distinct.select("fingerprint", "first"), similar_links(distinct, how))
+    rows = staged(rows.mapInArrow(signed, f"doc_id {kind}, node long, fingerprint long, keys array<long>, sketch binary"), "signatures")
+    distinct = staged(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min(F.struct("fingerprint", "keys", "sketch")).alias("s")).select("node", "first", "s.*"), "signature-groups")
+    return _labelled(rows.select("doc_id", "fingerprint", "node"), distinct.select("node", "first"), similar_links(distinct, how), "node").drop("node")
 
 
 def fingerprint_rows(docs: DataFrame, shingle: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -303,14 +310,14 @@ def near_dedup(docs: DataFrame, shingle: int = 3, radius: int = 2, blocks: int =
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _labelled(rows: DataFrame, distinct: DataFrame, links: DataFrame) -> DataFrame:
-    """``rows`` (doc_id, fingerprint) with the smallest id of their component; ``distinct`` holds each fingerprint's first id."""
+def _labelled(rows: DataFrame, distinct: DataFrame, links: DataFrame, node: str = "fingerprint") -> DataFrame:
+    """``rows`` (doc_id, ``node``) with the smallest id of their component; ``distinct`` holds each node's first id."""
     labels = connected_components(links)
-    grouped = distinct.join(labels.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
-    grouped = grouped.withColumn("component", F.coalesce("component", "fingerprint"))
+    grouped = distinct.join(labels.withColumnRenamed("node", node), node, "left")
+    grouped = grouped.withColumn("component", F.coalesce("component", node))
     smallest = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
-    found = staged(grouped.join(smallest, "component").select("fingerprint", "component_id"), "near-groups")
-    return rows.join(found, "fingerprint")
+    found = staged(grouped.join(smallest, "component").select(node, "component_id"), "near-groups")
+    return rows.join(found, node)
 
 
 def one_of_each_group(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame:

@@ -134,6 +134,15 @@ def test_near_copies_are_found_and_clean_texts_left_alone(documents):
     assert all(got[i] == i for i in range(alone, len(rows)))
 
 
+def test_a_repeated_line_does_not_merge_texts(documents):
+    rng = random.Random(2)
+    own = lambda: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(120))
+    rows = [(i, "one very common line of words here again now\n" * 100 + own()) for i in range(12)]
+    rows.append((12, rows[3][1]))
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(documents(rows)).collect()}
+    assert got == {i: i for i in range(12)} | {12: 3}
+
+
 def test_large_shards_are_cut_without_losing_links(documents, monkeypatch):
     rows, groups, _ = near_copies()
     docs = documents(rows)
