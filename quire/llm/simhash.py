@@ -27,6 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -199,14 +200,16 @@ class Similarity:
     At Jaccard similarity 0.8 of two shingle sets, the vectors' angle makes a fingerprint
     bit differ with probability 0.15, so about 10 of 64 bits differ, and 18 at most in 99 of
     100 pairs. No choice of equal blocks can shard such a radius; shards are bands of
-    minhash values instead. A shard's BK-tree is searched with ``radius``, and a link
-    needs ``agreement`` of the minhash values too, which texts that merely share a
-    passage do not reach.
+    minhash values instead. A shard's BK-tree is searched with ``radius``, and a candidate
+    link needs ``agreement`` of the minhash values too. Within the components of the
+    candidates, two texts link if they share a band and the exact Jaccard similarity of
+    their shingle sets is ``jaccard`` or more.
     """
 
     shingle: int = 5
     radius: int = 18
     agreement: float = 0.6
+    jaccard: float = 0.8
 
 
 _random = np.random.default_rng(SEED)
@@ -230,19 +233,63 @@ def signatures(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.nda
     return prints, keys.astype(np.int64), (mixed >> np.uint64(56)).astype(np.uint8)
 
 
-def similar_links(distinct: DataFrame, how: Similarity) -> DataFrame:
-    """Links (a, b) that span the components of ``distinct`` (node, fingerprint, keys, sketch)."""
+def _sharded(met: DataFrame, group: list[str], carried: list[str]) -> DataFrame:
+    """(members): arrays of the ``carried`` of each group of ``met``, which has the group's size as members.
+
+    Each pair of a large group's parts is a shard of its own, so that no task holds more than two parts.
+    """
+    parts = F.ceil(F.col("members") / SHARD_MEMBERS)
+    own = F.pmod(F.xxhash64("node", *group), parts)
+    other = F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))
+    dealt = met.withColumn("own", own).withColumn("other", other).select(*group, F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.struct(*carried).alias("m"))
+    return dealt.groupBy(*group, "low", "high").agg(F.collect_list("m").alias("members")).where(F.size("members") > 1)
+
+
+def exact_forest(sets: list[np.ndarray], keys: np.ndarray, least: float) -> np.ndarray:
+    """For each sorted set the first of its component; two sets link if they share a band key and ``least`` of their union.
+
+    A set is compared only with those not reached yet, so a group of near copies takes a round for each member that
+    reaches others, not all pairs.
+    """
+    root, sizes = np.full(len(sets), -1), np.array([len(x) for x in sets])
+    places = keys.tolist()
+    by_key: dict[tuple[int, int], list[int]] = {}
+    for i, own in enumerate(places):
+        for band in enumerate(own):
+            by_key.setdefault(band, []).append(i)
+    for first in range(len(sets)):
+        if root[first] >= 0:
+            continue
+        root[first] = first
+        waiting = [first]
+        while waiting:
+            at = waiting.pop()
+            near: set[int] = set()
+            for band in enumerate(places[at]):
+                left = [i for i in by_key[band] if root[i] < 0]
+                by_key[band] = left
+                near.update(left)
+            near_at = np.array(sorted(near), np.int64)
+            # The smaller set's share of the larger bounds the similarity.
+            near_at = near_at[np.minimum(sizes[near_at], sizes[at]) >= least * np.maximum(sizes[near_at], sizes[at])]
+            near_at = near_at[sizes[near_at] > 0]
+            if not len(near_at) or not sizes[at]:
+                continue
+            joined = np.concatenate([sets[i] for i in near_at])
+            place = np.minimum(np.searchsorted(sets[at], joined), sizes[at] - 1)
+            both = np.add.reduceat((sets[at][place] == joined).astype(np.int64), np.r_[0, np.cumsum(sizes[near_at])[:-1]])
+            reached = near_at[both >= least * (sizes[near_at] + sizes[at] - both)]
+            root[reached] = first
+            waiting.extend(reached.tolist())
+    return root
+
+
+def candidate_links(distinct: DataFrame, how: Similarity) -> DataFrame:
+    """Candidate links (a, b) that span the components of ``distinct`` (node, fingerprint, keys, sketch)."""
     banded = distinct.select("node", "fingerprint", "sketch", F.posexplode("keys").alias("band", "key"))
     sizes = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     met = banded.join(sizes, ["band", "key"])
-    # Each pair of a large shard's parts is a shard of its own, so that no task holds more than two parts.
-    parts = F.ceil(F.col("members") / SHARD_MEMBERS)
-    own = F.pmod(F.xxhash64("node", "band"), parts)
-    other = F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))
-    dealt = met.withColumn("own", own).withColumn("other", other).select(
-        "band", "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.struct("node", "fingerprint", "sketch").alias("m")
-    )
-    shards = dealt.groupBy("band", "key", "low", "high").agg(F.collect_list("m").alias("members")).where(F.size("members") > 1)
+    shards = _sharded(met, ["band", "key"], ["node", "fingerprint", "sketch"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,6 +305,34 @@ def similar_links(distinct: DataFrame, how: Similarity) -> DataFrame:
     return shards.select("members").mapInArrow(search, "a long, b long")
 
 
+def similar_links(rows: DataFrame, distinct: DataFrame, how: Similarity) -> DataFrame:
+    """Links (a, b) of exact similarity that span the components of ``distinct`` (node, row, fingerprint, keys, sketch).
+
+    ``rows`` (row, keys, grams) holds the nodes' shingle sets; only those of candidates travel.
+    """
+    found = connected_components(candidate_links(distinct, how))
+    sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
+    candidates = staged(found.join(sizes, "component").join(distinct.select("node", "row"), "node"), "near-candidates")
+    met = rows.select("row", "keys", "grams").join(candidates, "row")
+    shards = _sharded(met, ["component"], ["node", "keys", "grams"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            members = batch.column(0)
+            a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for i in range(batch.num_rows):
+                own = members[i].values
+                nodes = own.field("node").to_numpy()
+                sets = [np.frombuffer(x, np.uint64) for x in own.field("grams").to_pylist()]
+                root = exact_forest(sets, own.field("keys").flatten().to_numpy().reshape(-1, BANDS), how.jaccard)
+                tied = root != np.arange(len(root))
+                a.append(nodes[tied])
+                b.append(nodes[root[tied]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    return shards.select("members").mapInArrow(verify, "a long, b long")
+
+
 def similar_groups(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame:
     """As ``near_dedup``, (doc_id, fingerprint as long, component_id) by similarity; texts of one set of shingles are one.
 
@@ -268,6 +343,7 @@ def similar_groups(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
@@ -275,12 +351,13 @@ def similar_groups(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame
                 nodes = np.array([xxhash.xxh64_intdigest(own.tobytes(), SEED) for own in sets], np.uint64).astype(np.int64)
                 prints, keys, sketches = signatures(sets)
                 lists = pa.ListArray.from_arrays(np.arange(len(keys) + 1, dtype=np.int32) * BANDS, pa.array(keys.ravel()))
-                columns = [batch.column(0), pa.array(nodes), pa.array(prints), lists, pa.array([x.tobytes() for x in sketches], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "fingerprint", "keys", "sketch"])
+                columns = [pa.array(np.arange(row, row + len(sets))), batch.column(0), pa.array(nodes), pa.array(prints), lists, *(pa.array([x.tobytes() for x in own], pa.binary()) for own in (sketches, sets))]
+                row += len(sets)
+                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "node", "fingerprint", "keys", "sketch", "grams"])
 
-    rows = staged(rows.mapInArrow(signed, f"doc_id {kind}, node long, fingerprint long, keys array<long>, sketch binary"), "signatures")
-    distinct = staged(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min(F.struct("fingerprint", "keys", "sketch")).alias("s")).select("node", "first", "s.*"), "signature-groups")
-    return _labelled(rows.select("doc_id", "fingerprint", "node"), distinct.select("node", "first"), similar_links(distinct, how), "node").drop("node")
+    rows = staged(rows.mapInArrow(signed, f"row long, doc_id {kind}, node long, fingerprint long, keys array<long>, sketch binary, grams binary"), "signatures")
+    distinct = staged(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min(F.struct("row", "fingerprint", "keys", "sketch")).alias("s")).select("node", "first", "s.*"), "signature-groups")
+    return _labelled(rows.select("doc_id", "fingerprint", "node"), distinct.select("node", "first"), similar_links(rows, distinct, how), "node").drop("node")
 
 
 def fingerprint_rows(docs: DataFrame, shingle: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -143,6 +143,38 @@ def test_a_repeated_line_does_not_merge_texts(documents):
     assert got == {i: i for i in range(12)} | {12: 3}
 
 
+def test_links_have_the_stated_similarity(documents):
+    """Of 40 pairs each of similarity about 0.7, 0.78 and 0.83, those from 0.8 on are linked and no others."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    rows = []
+    for changed in (70, 50, 36):
+        for _ in range(40):
+            words = [word() for _ in range(400)]
+            rows.append((len(rows), " ".join(words)))
+            rows.append((len(rows), " ".join(words[:-changed] + [word() for _ in range(changed)])))
+    near = [jaccard(rows[i][1], rows[i + 1][1]) for i in range(0, len(rows), 2)]
+    assert min(near) > 0.65 and sum(s < 0.8 for s in near) == 80
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(documents(rows)).collect()}
+    linked = [got[i + 1] == i for i in range(0, len(rows), 2)]
+    assert not any(linked[:80]) and sum(linked[80:]) >= 39
+
+
+@pytest.mark.parametrize("least", [0.5, 0.8])
+def test_exact_forest_equals_all_pairs(least):
+    rng = random.Random(6)
+    seeds = [rng.sample(range(1000), 30) for _ in range(6)]
+    sets = [np.unique(np.array([*rng.sample(rng.choice(seeds), rng.randint(22, 30)), *rng.sample(range(1000), 2)], np.uint64)) for _ in range(80)] + [np.empty(0, np.uint64)]
+    got = simhash.exact_forest(sets, np.zeros((len(sets), simhash.BANDS), np.int64), least)
+    group = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            both = len(np.intersect1d(a, b))
+            if both and both >= least * (len(a) + len(b) - both):
+                group = [min(group[i], group[j]) if g in (group[i], group[j]) else g for g in group]
+    assert got.tolist() == group and 1 < len(set(group)) < len(sets)
+
+
 def test_large_shards_are_cut_without_losing_links(documents, monkeypatch):
     rows, groups, _ = near_copies()
     docs = documents(rows)
