@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import bounded_batches, staged
@@ -333,13 +333,14 @@ def similar_links(rows: DataFrame, distinct: DataFrame, how: Similarity) -> Data
     return shards.select("members").mapInArrow(verify, "a long, b long")
 
 
-def similar_groups(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame:
-    """As ``near_dedup``, (doc_id, fingerprint as long, component_id) by similarity; texts of one set of shingles are one.
+def _text_digest() -> Column:
+    return F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
 
-    Fingerprints are those of the distinct shingles, so that a repeated line doesn't outvote the rest of a text.
-    """
+
+def _similar_rows(docs: DataFrame, how: Similarity) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (row, doc_id, digest of the text, node, fingerprint, ...), distinct nodes (node, first doc_id, ...) and their links."""
     bounded_batches(docs)
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"), _text_digest().alias("digest"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,13 +352,22 @@ def similar_groups(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame
                 nodes = np.array([xxhash.xxh64_intdigest(own.tobytes(), SEED) for own in sets], np.uint64).astype(np.int64)
                 prints, keys, sketches = signatures(sets)
                 lists = pa.ListArray.from_arrays(np.arange(len(keys) + 1, dtype=np.int32) * BANDS, pa.array(keys.ravel()))
-                columns = [pa.array(np.arange(row, row + len(sets))), batch.column(0), pa.array(nodes), pa.array(prints), lists, *(pa.array([x.tobytes() for x in own], pa.binary()) for own in (sketches, sets))]
+                columns = [pa.array(np.arange(row, row + len(sets))), batch.column(0), batch.column(2), pa.array(nodes), pa.array(prints), lists, *(pa.array([x.tobytes() for x in own], pa.binary()) for own in (sketches, sets))]
                 row += len(sets)
-                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "node", "fingerprint", "keys", "sketch", "grams"])
+                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "digest", "node", "fingerprint", "keys", "sketch", "grams"])
 
-    rows = staged(rows.mapInArrow(signed, f"row long, doc_id {kind}, node long, fingerprint long, keys array<long>, sketch binary, grams binary"), "signatures")
+    rows = staged(rows.mapInArrow(signed, f"row long, doc_id {kind}, digest string, node long, fingerprint long, keys array<long>, sketch binary, grams binary"), "signatures")
     distinct = staged(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min(F.struct("row", "fingerprint", "keys", "sketch")).alias("s")).select("node", "first", "s.*"), "signature-groups")
-    return _labelled(rows.select("doc_id", "fingerprint", "node"), distinct.select("node", "first"), similar_links(rows, distinct, how), "node").drop("node")
+    return rows, distinct, similar_links(rows, distinct, how)
+
+
+def similar_groups(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame:
+    """As ``near_dedup``, (doc_id, fingerprint as long, component_id) by similarity; texts of one set of shingles are one.
+
+    Fingerprints are those of the distinct shingles, so that a repeated line doesn't outvote the rest of a text.
+    """
+    rows, distinct, links = _similar_rows(docs, how)
+    return _labelled(rows.select("doc_id", "fingerprint", "node"), distinct.select("node", "first"), links, "node").drop("node")
 
 
 def fingerprint_rows(docs: DataFrame, shingle: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -398,16 +408,26 @@ def _labelled(rows: DataFrame, distinct: DataFrame, links: DataFrame, node: str
 
 
 def one_of_each_group(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that stand for their group of near copies: those with its smallest id.
+    """The rows of ``docs``, with all their columns, that stand for their group of near copies: one of each group.
 
-    Rows with one id are one document, of which one row stays.
+    It is the row with the smallest id, null ids being the largest, and of those the one with the smallest digest of
+    its text. Rows with a null id, or with one id but texts of different groups, are documents of their own.
     """
-    labels = staged(similar_groups(docs, how).select("doc_id", "component_id"), "near-labels")
-    ids = labels.groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"), F.count(F.lit(1)).alias("rows"))
-    ids = staged(ids.where("NOT stays OR rows > 1").select(F.col("doc_id").alias("__id__"), "stays"), "near-ids")
-    met = F.col("doc_id").eqNullSafe(F.col("__id__"))
-    kept = docs.join(ids.select("__id__"), met, "left_anti")
-    repeated = ids.where("stays").select("__id__")
-    if repeated.isEmpty():
-        return kept
-    return kept.unionByName(docs.join(repeated, met, "left_semi").dropDuplicates(["doc_id"]))
+    rows, _, links = _similar_rows(docs, how)
+    # An id and a text make a document; equal texts are one node, so a document has one component.
+    documents = rows.groupBy("doc_id", "digest").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("rows"))
+    labels = connected_components(links)
+    documents = documents.join(labels, "node", "left").select("doc_id", "digest", "rows", F.coalesce("component", "node").alias("component"))
+    documents = staged(documents, "near-documents")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    first = documents.groupBy("component").agg(F.min(order).alias("first"))
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))
+    ids = documents.join(first, "component").withColumn("stays", stays).where("NOT stays OR rows > 1")
+    ids = staged(ids.select(F.col("doc_id").alias("__id__"), F.col("digest").alias("__digest__"), "stays"), "near-ids")
+    keyed = docs.withColumn("__text__", _text_digest())
+    met = F.col("doc_id").eqNullSafe(F.col("__id__")) & (F.col("__text__") == F.col("__digest__"))
+    kept = keyed.join(ids.select("__id__", "__digest__"), met, "left_anti")
+    repeated = ids.where("stays").select("__id__", "__digest__")
+    if not repeated.isEmpty():
+        kept = kept.unionByName(keyed.join(repeated, met, "left_semi").dropDuplicates(["doc_id", "__text__"]))
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -203,5 +203,13 @@ def test_one_of_each_group(documents, clashing):
     assert simhash.one_of_each_group(documents([])).collect() == []
 
 
+def test_rows_without_an_id_or_with_a_shared_one_are_documents(documents):
+    rng = random.Random(7)
+    own = [" ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(80)) for _ in range(9)]
+    rows = [(None, t) for t in own[:4]] + [(5, own[4]), (5, own[5]), (5, own[5]), (8, own[6]), (None, own[6] + " more"), (None, own[0]), (7, own[4]), (9, None), (None, "")]
+    got = sorted(((r.doc_id, r.text) for r in simhash.one_of_each_group(documents(rows)).collect()), key=str)
+    assert got == sorted([(None, t) for t in own[:4]] + [(5, own[4]), (5, own[5]), (8, own[6]), (9, None)], key=str)
+
+
 def test_empty_table(documents):
     assert simhash.near_dedup(documents([])).collect() == []
