@@ -44,6 +44,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(staged_table: DataFrame) -> None:
+    """Deletes the files of a table that ``staged`` made and nothing reads any more."""
+    spark = staged_table.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for folder in {name.rsplit("/", 1)[0] for name in staged_table.inputFiles()}:
+        path = hadoop(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def bounded_batches(df: DataFrame, rows: int = 2000) -> None:
     """Lowers Spark's default of 10,000 rows an Arrow batch, which tasks on whole texts hold several copies of; a smaller setting stays."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import bounded_batches, staged
+from quire.llm.common import bounded_batches, removed, staged
 from quire.llm.graph import connected_components
 
 SEED = 42
@@ -413,12 +413,15 @@ def one_of_each_group(docs: DataFrame, how: Similarity = Similarity()) -> DataFr
     It is the row with the smallest id, null ids being the largest, and of those the one with the smallest digest of
     its text. Rows with a null id, or with one id but texts of different groups, are documents of their own.
     """
-    rows, _, links = _similar_rows(docs, how)
+    rows, distinct, links = _similar_rows(docs, how)
     # An id and a text make a document; equal texts are one node, so a document has one component.
     documents = rows.groupBy("doc_id", "digest").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("rows"))
     labels = connected_components(links)
     documents = documents.join(labels, "node", "left").select("doc_id", "digest", "rows", F.coalesce("component", "node").alias("component"))
     documents = staged(documents, "near-documents")
+    # The shingle sets are larger than the texts.
+    removed(rows)
+    removed(distinct)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
     first = documents.groupBy("component").agg(F.min(order).alias("first"))
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))
