@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,20 +10,9 @@ from quire.functions.text import clean, collapse, is_prose_line
 from quire.operators import entities as E
 from quire.operators import resolve as R
 from quire.operators.backends import Backend, Context
+from quire.plans.staging import staged
 
 LINES_PER_PAGE = 40
-_own: list[str] = []
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the folder in spark.checkpoint.dir, which executors share, and read again."""
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        _own[:] = _own or [f"file://{tempfile.mkdtemp(prefix='quire-')}"]
-        folder = _own[0]
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def lines_of(documents: DataFrame) -> DataFrame:

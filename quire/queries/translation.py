@@ -11,7 +11,8 @@ from quire.operators import backends as B
 from quire.operators import cache as C
 from quire.operators import report as P
 from quire.operators import resolve as R
-from quire.plans.translate import staged, text_hash, translate_documents
+from quire.plans.staging import staged
+from quire.plans.translate import text_hash, translate_documents
 from quire.queries import query, table
 from quire.queries.common import CACHE_SQL, CASED, HASH, LETTERS, ROSTER, TERMS_SQL, cache, cased, glossary
 from quire.queries.text import CLASSIFY_SQL, GUARDED_SQL, TOKENS_SQL
