@@ -10,47 +10,45 @@ Conventions that hold for every operator of this subpackage:
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes that separate words, in every contract of this subpackage.
-WHITE_SPACE = "\\x20\\x09-\\x0D"
+from quire.plans.staging import removed, shared_folder, staged
 
-_own_folder: list[str] = []
+__all__ = ["removed", "shared_folder", "staged"]
 
+#: Bytes that separate words, in every contract of this subpackage.
+WHITE_SPACE = "\\x20\\x09-\\x0D"
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; only where the session has none (tests), an own one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not _own_folder:
-        _own_folder.append(tempfile.mkdtemp(prefix="quire-shared-"))
-    return f"file://{_own_folder[0]}"
+#: Bits of a key filter, at most: 16 MB, whatever the number of keys.
+FILTER_BITS = 1 << 27
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet to the shared folder and reads it back.
+class KeyFilter:
+    """A bitmap of key hashes, of a bounded size, that says of a row that its key is surely none of ``keys``, or may be one.
 
-    It cuts the lineage where a result is used more than once; any executor can read the
-    files again, so a lost one costs no recomputation.
+    It saves the rows that are surely none from being shuffled to the keys; a join has the
+    last word on the others. The more keys, the fewer rows it spares; with very many, all
+    go the join's way.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def removed(staged_table: DataFrame) -> None:
-    """Deletes the files of a table that ``staged`` made and nothing reads any more."""
-    spark = staged_table.sparkSession
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    for folder in {name.rsplit("/", 1)[0] for name in staged_table.inputFiles()}:
-        path = hadoop(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    def __init__(self, keys: DataFrame, columns: list[str], rows: int, most: int = FILTER_BITS):
+        self.bits = min(most, max(1 << 15, 1 << (16 * rows).bit_length()))
+        place = self._place([F.col(c) for c in columns])
+        places = keys.select(place.alias("place"))
+        self.bitmaps = staged(places.groupBy(F.bitmap_bucket_number("place").alias("__bucket__")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("__bitmap__")), "key-filter")
+
+    def _place(self, columns: list[Column]) -> Column:
+        return F.xxhash64(*columns).bitwiseAND(F.lit(self.bits - 1))
+
+    def flagged(self, rows: DataFrame, columns: list[Column], into: str) -> DataFrame:
+        """``rows`` with ``into``: whether the key may be one of the filter's."""
+        place = rows.withColumn("__place__", self._place(columns))
+        met = place.join(F.broadcast(self.bitmaps), F.bitmap_bucket_number("__place__") == F.col("__bucket__"), "left")
+        at = F.bitmap_bit_position("__place__")
+        byte = F.conv(F.hex(F.substring("__bitmap__", F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        hit = F.coalesce(F.getbit(byte, at.bitwiseAND(F.lit(7)).cast("int")) == 1, F.lit(False))
+        return met.withColumn(into, hit).drop("__place__", "__bucket__", "__bitmap__")
 
 
 def bounded_batches(df: DataFrame, rows: int = 2000) -> None:

@@ -27,11 +27,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import bounded_batches, removed, staged
+from quire.llm.common import KeyFilter, bounded_batches, removed, staged
 from quire.llm.graph import connected_components
 
 SEED = 42
@@ -166,7 +165,9 @@ def near_links(distinct: DataFrame, radius: int = 2, blocks: int = 8) -> DataFra
     """Links (a, b) that span the components of ``distinct`` (fingerprint) at Hamming distance ``radius`` or less."""
     masks = [mask - (1 << 64) if mask >> 63 else mask for mask in shard_keys(blocks, radius)]
     keys = F.explode(F.array(*(F.struct(F.lit(i).alias("choice"), F.col("fingerprint").bitwiseAND(F.lit(mask)).alias("key")) for i, mask in enumerate(masks))))
-    shards = distinct.select("fingerprint", keys.alias("k")).groupBy("k").agg(F.collect_list("fingerprint").alias("members")).where(F.size("members") > 1)
+    # Small rows that become many: dealt over all partitions first, which adaptive execution would join to few.
+    spread = distinct.select("fingerprint").repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fingerprint")
+    shards = spread.select("fingerprint", keys.alias("k")).groupBy("k").agg(F.collect_list("fingerprint").alias("members")).where(F.size("members") > 1)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,8 +190,8 @@ def near_links(distinct: DataFrame, radius: int = 2, blocks: int = 8) -> DataFra
 
 #: Minhash bands of a text and rows of each: two texts of similarity 0.8 share one of 14 bands of 4 with probability 0.9994.
 BANDS, ROWS = 14, 4
-#: Members of a shard that one task searches, about; a larger shard is cut into pairs of parts.
-SHARD_MEMBERS = 4096
+#: Members, and bytes of texts, of a shard that one task searches, about; a larger shard is cut into pairs of parts.
+SHARD_MEMBERS, SHARD_BYTES = 4096, 32 << 20
 
 
 @dataclass(frozen=True)
@@ -198,8 +199,8 @@ class Similarity:
     """Near copies by similarity of word shingles rather than by a narrow radius.
 
     At Jaccard similarity 0.8 of two shingle sets, the vectors' angle makes a fingerprint
-    bit differ with probability 0.15, so about 10 of 64 bits differ, and 18 at most in 99 of
-    100 pairs. No choice of equal blocks can shard such a radius; shards are bands of
+    bit differ with probability 0.15, so about 10 of 64 bits differ, and 20 at most in 999
+    of 1,000 pairs. No choice of equal blocks can shard such a radius; shards are bands of
     minhash values instead. A shard's BK-tree is searched with ``radius``, and a candidate
     link needs ``agreement`` of the minhash values too. Within the components of the
     candidates, two texts link if they share a band and the exact Jaccard similarity of
@@ -207,7 +208,7 @@ class Similarity:
     """
 
     shingle: int = 5
-    radius: int = 18
+    radius: int = 20
     agreement: float = 0.6
     jaccard: float = 0.8
 
@@ -234,15 +235,16 @@ def signatures(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def _sharded(met: DataFrame, group: list[str], carried: list[str]) -> DataFrame:
-    """(members): arrays of the ``carried`` of each group of ``met``, which has the group's size as members.
+    """(members): arrays of the ``carried`` of each group of ``met`` (node, parts, ...).
 
-    Each pair of a large group's parts is a shard of its own, so that no task holds more than two parts.
+    Each pair of a large group's parts is a shard of its own, dealt by an exchange of its own, so that no task holds
+    more than two parts at once and a large group's pairs go to all tasks.
     """
-    parts = F.ceil(F.col("members") / SHARD_MEMBERS)
-    own = F.pmod(F.xxhash64("node", *group), parts)
-    other = F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))
+    own = F.pmod(F.xxhash64("node", *group), F.col("parts"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
     dealt = met.withColumn("own", own).withColumn("other", other).select(*group, F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.struct(*carried).alias("m"))
-    return dealt.groupBy(*group, "low", "high").agg(F.collect_list("m").alias("members")).where(F.size("members") > 1)
+    shard = [*group, "low", "high"]
+    return dealt.repartition(*shard).groupBy(*shard).agg(F.collect_list("m").alias("members")).where(F.size("members") > 1)
 
 
 def exact_forest(sets: list[np.ndarray], keys: np.ndarray, least: float) -> np.ndarray:
@@ -288,7 +290,7 @@ def candidate_links(distinct: DataFrame, how: Similarity) -> DataFrame:
     """Candidate links (a, b) that span the components of ``distinct`` (node, fingerprint, keys, sketch)."""
     banded = distinct.select("node", "fingerprint", "sketch", F.posexplode("keys").alias("band", "key"))
     sizes = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    met = banded.join(sizes, ["band", "key"])
+    met = banded.join(sizes.select("band", "key", F.ceil(F.col("members") / SHARD_MEMBERS).alias("parts")), ["band", "key"])
     shards = _sharded(met, ["band", "key"], ["node", "fingerprint", "sketch"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,16 +307,25 @@ def candidate_links(distinct: DataFrame, how: Similarity) -> DataFrame:
     return shards.select("members").mapInArrow(search, "a long, b long")
 
 
-def similar_links(rows: DataFrame, distinct: DataFrame, how: Similarity) -> DataFrame:
-    """Links (a, b) of exact similarity that span the components of ``distinct`` (node, row, fingerprint, keys, sketch).
+def similar_links(docs: DataFrame, distinct: DataFrame, how: Similarity) -> DataFrame:
+    """Links (a, b) of exact similarity that span the components of ``distinct`` (node, first, fingerprint, keys, sketch).
 
-    ``rows`` (row, keys, grams) holds the nodes' shingle sets; only those of candidates travel.
+    Of ``docs`` (doc_id, text, digest) only the texts that stand for a candidate travel, and their shingles are made
+    anew where they meet: a text is smaller than its set of shingles.
     """
     found = connected_components(candidate_links(distinct, how))
-    sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
-    candidates = staged(found.join(sizes, "component").join(distinct.select("node", "row"), "node"), "near-candidates")
-    met = rows.select("row", "keys", "grams").join(candidates, "row")
-    shards = _sharded(met, ["component"], ["node", "keys", "grams"])
+    met = staged(found.join(distinct.select("node", "first", "keys", "bytes", "repeated"), "node"), "near-candidates")
+    sizes = met.groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.sum("bytes").alias("bytes"))
+    parts = F.ceil(F.greatest(F.col("members") / SHARD_MEMBERS, F.col("bytes") / SHARD_BYTES)).cast("long")
+    dealt = met.drop("bytes").join(sizes.select("component", F.greatest(F.lit(1), parts).alias("parts")), "component")
+    wanted = dealt.select("node", "component", "parts", "keys", F.col("first.doc_id").alias("__id__"), F.col("first.digest").alias("__digest__"))
+    count, repeated = met.agg(F.count(F.lit(1)), F.max("repeated")).first()
+    near = KeyFilter(met.select("first.doc_id", "first.digest"), ["doc_id", "digest"], count)
+    texts = near.flagged(docs, [F.col("doc_id"), F.col("digest")], "may").where("may")
+    texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("__id__")) & (F.col("digest") == F.col("__digest__")))
+    if repeated:
+        texts = texts.dropDuplicates(["node"])
+    shards = _sharded(texts.withColumn("text", F.col("text").cast("binary")), ["component"], ["node", "keys", "text"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -323,42 +334,56 @@ def similar_links(rows: DataFrame, distinct: DataFrame, how: Similarity) -> Data
             for i in range(batch.num_rows):
                 own = members[i].values
                 nodes = own.field("node").to_numpy()
-                sets = [np.frombuffer(x, np.uint64) for x in own.field("grams").to_pylist()]
+                sets = [np.unique(shingle_hashes(text.as_py(), how.shingle)) for text in own.field("text")]
                 root = exact_forest(sets, own.field("keys").flatten().to_numpy().reshape(-1, BANDS), how.jaccard)
                 tied = root != np.arange(len(root))
                 a.append(nodes[tied])
                 b.append(nodes[root[tied]])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-    return shards.select("members").mapInArrow(verify, "a long, b long")
+    return staged(shards.select("members").mapInArrow(verify, "a long, b long"), "near-links")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, digest of the text): what makes a document here."""
+    return docs.select("doc_id", F.col("text").alias("text"), _text_digest().alias("digest"))
 
 
 def _text_digest() -> Column:
     return F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
 
 
-def _similar_rows(docs: DataFrame, how: Similarity) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows (row, doc_id, digest of the text, node, fingerprint, ...), distinct nodes (node, first doc_id, ...) and their links."""
+def _documents(docs: DataFrame, how: Similarity) -> DataFrame:
+    """(doc_id, digest, rows, node, fingerprint, keys, sketch, bytes): one row of each id and text, and the number of rows that have both."""
     bounded_batches(docs)
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"), _text_digest().alias("digest"))
+    rows = _keyed(docs).select("doc_id", F.col("text").cast("binary").alias("text"), "digest")
     kind = rows.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "digest", "node", "fingerprint", "keys", "sketch", "bytes"]
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 40
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
-                sets = [np.unique(shingle_hashes(text, how.shingle)) for text in batch.column(1).to_pylist()]
+                texts = batch.column(1).to_pylist()
+                sets = [np.unique(shingle_hashes(text, how.shingle)) for text in texts]
                 nodes = np.array([xxhash.xxh64_intdigest(own.tobytes(), SEED) for own in sets], np.uint64).astype(np.int64)
                 prints, keys, sketches = signatures(sets)
                 lists = pa.ListArray.from_arrays(np.arange(len(keys) + 1, dtype=np.int32) * BANDS, pa.array(keys.ravel()))
-                columns = [pa.array(np.arange(row, row + len(sets))), batch.column(0), batch.column(2), pa.array(nodes), pa.array(prints), lists, *(pa.array([x.tobytes() for x in own], pa.binary()) for own in (sketches, sets))]
-                row += len(sets)
-                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "digest", "node", "fingerprint", "keys", "sketch", "grams"])
+                sizes = pa.array([len(text or b"") for text in texts], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(nodes), pa.array(prints), lists, pa.array([x.tobytes() for x in sketches], pa.binary()), sizes], names)
 
-    rows = staged(rows.mapInArrow(signed, f"row long, doc_id {kind}, digest string, node long, fingerprint long, keys array<long>, sketch binary, grams binary"), "signatures")
-    distinct = staged(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min(F.struct("row", "fingerprint", "keys", "sketch")).alias("s")).select("node", "first", "s.*"), "signature-groups")
-    return rows, distinct, similar_links(rows, distinct, how)
+    made = rows.mapInArrow(signed, f"doc_id {kind}, digest string, node long, fingerprint long, keys array<long>, sketch binary, bytes long")
+    return staged(made.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("rows"), *(F.any_value(n).alias(n) for n in names[2:])), "signatures")
+
+
+def _nodes(documents: DataFrame) -> DataFrame:
+    """(node, first, repeated, fingerprint, keys, sketch, bytes): the distinct sets of shingles with the first document that has each.
+
+    First is the smallest id, null ids being the largest, and of its texts the one with the smallest digest.
+    """
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first")
+    held = [F.any_value(n).alias(n) for n in ("fingerprint", "keys", "sketch", "bytes")]
+    return staged(documents.groupBy("node").agg(first, (F.max("rows") > 1).alias("repeated"), *held), "signature-groups")
 
 
 def similar_groups(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame:
@@ -366,8 +391,11 @@ def similar_groups(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame
 
     Fingerprints are those of the distinct shingles, so that a repeated line doesn't outvote the rest of a text.
     """
-    rows, distinct, links = _similar_rows(docs, how)
-    return _labelled(rows.select("doc_id", "fingerprint", "node"), distinct.select("node", "first"), links, "node").drop("node")
+    documents = _documents(docs, how)
+    distinct = _nodes(documents)
+    links = similar_links(_keyed(docs), distinct, how)
+    rows = documents.select("doc_id", "fingerprint", "node", F.explode(F.sequence(F.lit(1).cast("long"), "rows"))).drop("col")
+    return _labelled(rows, distinct.select("node", F.col("first.doc_id").alias("first")), links, "node").drop("node")
 
 
 def fingerprint_rows(docs: DataFrame, shingle: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -411,26 +439,31 @@ def one_of_each_group(docs: DataFrame, how: Similarity = Similarity()) -> DataFr
     """The rows of ``docs``, with all their columns, that stand for their group of near copies: one of each group.
 
     It is the row with the smallest id, null ids being the largest, and of those the one with the smallest digest of
-    its text. Rows with a null id, or with one id but texts of different groups, are documents of their own.
+    its text. Rows with a null id, or with one id but texts of different groups, are documents of their own. A null
+    text is an empty one; texts without words are one group; an empty table gives no rows. Texts of any length are
+    taken whole.
     """
-    rows, distinct, links = _similar_rows(docs, how)
-    # An id and a text make a document; equal texts are one node, so a document has one component.
-    documents = rows.groupBy("doc_id", "digest").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("rows"))
-    labels = connected_components(links)
-    documents = documents.join(labels, "node", "left").select("doc_id", "digest", "rows", F.coalesce("component", "node").alias("component"))
-    documents = staged(documents, "near-documents")
-    # The shingle sets are larger than the texts.
-    removed(rows)
-    removed(distinct)
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
-    first = documents.groupBy("component").agg(F.min(order).alias("first"))
-    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))
-    ids = documents.join(first, "component").withColumn("stays", stays).where("NOT stays OR rows > 1")
-    ids = staged(ids.select(F.col("doc_id").alias("__id__"), F.col("digest").alias("__digest__"), "stays"), "near-ids")
-    keyed = docs.withColumn("__text__", _text_digest())
-    met = F.col("doc_id").eqNullSafe(F.col("__id__")) & (F.col("__text__") == F.col("__digest__"))
-    kept = keyed.join(ids.select("__id__", "__digest__"), met, "left_anti")
-    repeated = ids.where("stays").select("__id__", "__digest__")
+    documents = _documents(docs, how)
+    distinct = _nodes(documents)
+    labels = connected_components(similar_links(_keyed(docs), distinct, how))
+    component = F.coalesce("component", "node").alias("component")
+    groups = distinct.select("node", "first").join(labels, "node", "left").select(component, "first")
+    first = staged(groups.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__id__"), F.col("first.digest").alias("__digest__")), "near-first")
+    same = F.col("doc_id").eqNullSafe(F.col("__id__")) & (F.col("digest") == F.col("__digest__"))
+    # Rows are removed by what goes, not chosen by what stays: usually that is less.
+    names = [F.col("doc_id").alias("__id__"), F.col("digest").alias("__digest__")]
+    going = staged(documents.join(first, same, "left_anti").select(*names), "near-going")
+    repeated = staged(documents.where("rows > 1").join(first, same, "left_semi").select(*names), "near-repeated")
+    removed(documents, distinct)
+    keyed = docs.select(F.struct("*").alias("__row__"), "doc_id", _text_digest().alias("digest"))
+
+    def apart(rows: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+        flagged = KeyFilter(keys, ["__id__", "__digest__"], keys.count()).flagged(rows, [F.col("doc_id"), F.col("digest")], "may")
+        return flagged.where("NOT may").drop("may"), flagged.where("may").drop("may")
+
+    sure, perhaps = apart(keyed, going)
+    kept = sure.unionByName(perhaps.join(going, same, "left_anti"))
     if not repeated.isEmpty():
-        kept = kept.unionByName(keyed.join(repeated, met, "left_semi").dropDuplicates(["doc_id", "__text__"]))
-    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
+        single, several = apart(kept, repeated)
+        kept = single.unionByName(several.join(repeated, same, "left_anti")).unionByName(several.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "digest"]))
+    return kept.select("__row__.*")
