@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import WHITE_SPACE, staged, text_or_empty, word_count
+from quire.llm.common import staged, text_or_empty, word_count
 
 #: Fixed values of the contract: weights by rank of the source, share of all words, and times a source may be used.
 WEIGHTS, SHARE, EPOCHS = (5.0, 2.0, 1.0), 1.5, 2
@@ -87,23 +87,22 @@ def curriculum(
     schedules: Sequence[Sequence[float]] = SCHEDULES,
     sizes: DataFrame | None = None,
 ) -> DataFrame:
-    """``rows`` (doc_id, source, size, and whatever is carried along) with source_size, target, takes and position.
+    """``rows`` (doc_id, source, size, key, and whatever is carried along) with source_size, target, takes and positions.
 
     ``takes`` is an array of the words taken by each use of the document, up to ``epochs``
     of them; a source's takes add up to its target, rounded. All are whole documents but
     the one in which the target ends, of which the first words are taken. ``positions``
-    are the uses' training positions. ``sizes`` may give the plain (doc_id, source, size)
+    are the uses' training positions. ``sizes`` may give the plain (doc_id, source, size, key)
     of the same rows, so that texts carried along are read once.
     """
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    sizes = rows.select("doc_id", "source", "size") if sizes is None else sizes
+    sizes = rows.select("doc_id", "source", "size", "key") if sizes is None else sizes
     targets = staged(source_targets(sizes, weights, share, epochs), "mix-targets")
     parts = F.greatest(F.lit(1), F.ceil(F.col("rows") / BUCKET_ROWS), F.ceil(F.col("source_size") / BUCKET_WORDS)).cast("long")
     # Few sources, one row each: what a row needs of its source before it can be dealt out is its number of buckets.
     by_rank = targets.select(F.col("source").alias("of"), parts.alias("buckets"))
 
     def dealt(frame: DataFrame) -> DataFrame:
-        keyed = frame.withColumn("key", key).join(by_rank, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+        keyed = frame.join(by_rank, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
         at = F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.col("buckets")
         return keyed.withColumn("bucket", F.shiftright(at, 32)).drop("buckets")
 
@@ -124,8 +123,13 @@ def curriculum(
     return placed.withColumn("takes", takes).withColumn("positions", positions).drop("key", "bucket", "first", "start", "of_source", "of_bucket", "rank")
 
 
+def order_key(id_column: str = "doc_id", text_column: str = "text") -> Column:
+    """Pseudo-random order of documents. The text is part of it, so that rows without an id, or with one for all, don't fall into one bucket."""
+    return F.md5(F.concat(F.coalesce(F.col(id_column).cast("string"), F.lit("")), F.lit(":"), text_or_empty(text_column)).cast("binary"))
+
+
 def sized(docs: DataFrame, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text") -> DataFrame:
-    return docs.select(F.col(id_column).alias("doc_id"), F.col(source_column).alias("source"), word_count(text_or_empty(text_column)).alias("size"))
+    return docs.select(F.col(id_column).alias("doc_id"), F.col(source_column).alias("source"), word_count(text_or_empty(text_column)).alias("size"), order_key(id_column, text_column).alias("key"))
 
 
 def mix(docs: DataFrame, **settings) -> DataFrame:
@@ -147,17 +151,14 @@ def mix(docs: DataFrame, **settings) -> DataFrame:
 def mixed(docs: DataFrame, **settings) -> DataFrame:
     """The training order: the rows of ``docs``, with their columns, once for each use, range-sorted by training position.
 
-    A use that takes a part of a document holds its first words, joined by single spaces;
-    each source has at most one such use.
+    A use is a whole document or nothing: the one in which a source's target ends is used
+    if at least half of it lies before the end. Nulls, repeated rows and empty tables are
+    as in ``mix``; documents without words are not used; texts of any length are one row.
     """
     sizes = staged(sized(docs), "mix-sizes")
-    rows = docs.select(
-        F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), word_count(text_or_empty()).alias("size"), F.struct("*").alias("__row__")
-    )
+    rows = docs.select(F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), word_count(text_or_empty()).alias("size"), order_key().alias("key"), F.struct("*").alias("__row__"))
     placed = curriculum(rows, sizes=sizes, **settings)
-    uses = F.filter(F.arrays_zip("takes", "positions"), lambda use: use["takes"] > 0)
-    used = placed.select("size", "__row__", F.explode(uses).alias("use")).select("size", "__row__", F.col("use.takes").alias("take"), F.col("use.positions").alias("at"))
-    words = F.regexp_extract_all(text_or_empty("__row__.text"), F.lit(f"[^{WHITE_SPACE}]+"), F.lit(0))
-    text = F.when(F.col("take") < F.col("size"), F.array_join(F.slice(words, 1, F.col("take").cast("int")), " ")).otherwise(F.col("__row__.text"))
+    uses = F.filter(F.arrays_zip("takes", "positions"), lambda use: (use["takes"] > 0) & (2 * use["takes"] >= F.col("size")))
+    used = placed.select("__row__", F.explode(uses).alias("use")).select("__row__", F.col("use.positions").alias("at"))
     ordered = used.repartitionByRange(F.col("at"), F.col("__row__.doc_id")).sortWithinPartitions("at", "__row__.doc_id")
-    return ordered.select(*((text if c == "text" else F.col(f"__row__.`{c}`")).alias(c) for c in docs.columns))
+    return ordered.select("__row__.*")

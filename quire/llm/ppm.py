@@ -219,7 +219,7 @@ class Trie:
             context, start, inverse, different = np.unique(codes >> np.uint64(8), return_index=True, return_inverse=True, return_counts=True)
             total = np.add.reduceat(counts, start) if len(codes) else np.empty(0)
             if j == 0:
-                full = total  # what the empty context lost is not known here, and hardly matters there
+                full = total  # the empty context lost nothing: it has all the symbols there are
             else:
                 at, there = _find(levels[j - 1][0], context)
                 full = np.where(there, levels[j - 1][1][at].astype(np.float64) if len(levels[j - 1][1]) else 0.0, 0.0)
@@ -307,6 +307,22 @@ def shared_levels(grams: DataFrame, order: int) -> list[tuple[np.ndarray, np.nda
     return [level(codes, counts, j) for j in range(most)]
 
 
+def packed(codes: np.ndarray, order: int) -> bytes:
+    """Sorted codes without their empty bytes, byte place by byte place, which compresses well."""
+    return codes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : order + 1].T.tobytes()
+
+
+def unpacked(data: list[bytes], order: int) -> np.ndarray:
+    """Inverse of ``packed``, of several packs one after another."""
+    out = np.zeros((sum(map(len, data)) // (order + 1), 8), np.uint8)
+    at = 0
+    for pack in data:
+        n = len(pack) // (order + 1)
+        out[at : at + n, : order + 1] = np.frombuffer(pack, np.uint8).reshape(order + 1, n).T
+        at += n
+    return out.view("<u8").reshape(-1)
+
+
 def part_of(codes: np.ndarray, order: int, parts: int) -> np.ndarray:
     """The part of the trie that knows a gram; ``part_column`` is the same."""
     suffix = (codes >> np.uint64(8)) & mask(min(order, SUFFIX))
@@ -319,32 +335,34 @@ def part_column(gram: Column, order: int, parts: int) -> Column:
 
 
 def gram_probabilities(asked: DataFrame, grams: DataFrame, texts: int, order: int, parts: int) -> DataFrame:
-    """(chunk, grams, found): packed log10 probabilities of the packed grams of ``asked`` (part, chunk, grams) by the counts of ``grams`` (gram, n)."""
+    """(chunk, pack, found): log10 probabilities of the packed grams of ``asked`` (part, chunk, pack, grams) by the counts of ``grams`` (gram, n)."""
     shared = grams.sparkSession.sparkContext.broadcast(shared_levels(grams, order))
-    rows = grams.select(part_column(F.col("gram"), order, parts).alias("part"), F.lit(None).cast("long").alias("chunk"), F.lit(None).cast("binary").alias("grams"), "gram", "n")
-    rows = rows.unionByName(asked.select("part", "chunk", "grams"), allowMissingColumns=True)
+    rows = grams.select(
+        part_column(F.col("gram"), order, parts).alias("part"), F.lit(None).cast("long").alias("chunk"), F.lit(None).cast("int").alias("pack"), F.lit(None).cast("binary").alias("grams"), "gram", "n"
+    )
+    rows = rows.unionByName(asked.select("part", "chunk", "pack", "grams"), allowMissingColumns=True)
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, counts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
         trie = None
         for batch in batches:
             # A part's counts come before what is asked of it.
-            model = batch.filter(pc.is_valid(batch.column(3)))
-            codes.append(model.column(3).to_numpy().astype(np.uint64))
-            counts.append(model.column(4).to_numpy())
+            model = batch.filter(pc.is_valid(batch.column(4)))
+            codes.append(model.column(4).to_numpy().astype(np.uint64))
+            counts.append(model.column(5).to_numpy())
             batch = batch.filter(pc.is_valid(batch.column(1)))
             if not batch.num_rows:
                 continue
             if trie is None:
                 own, n = np.concatenate(codes), np.concatenate(counts)
                 trie = Trie(shared.value + [level(own, n, j) for j in range(len(shared.value), order + 1)], texts)
-            packed = batch.column(2).to_pylist()
-            sizes = [len(x) // 8 for x in packed]
-            found = np.split(trie.log10_probability(np.frombuffer(b"".join(packed), np.uint64)), np.cumsum(sizes)[:-1])
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([x.tobytes() for x in found], pa.binary())], ["chunk", "grams", "found"])
+            packs = batch.column(3).to_pylist()
+            sizes = [len(x) // (order + 1) for x in packs]
+            found = np.split(trie.log10_probability(unpacked(packs, order)).astype("<f4"), np.cumsum(sizes)[:-1])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([x.tobytes() for x in found], pa.binary())], ["chunk", "pack", "found"])
 
     dealt = rows.repartitionById(parts, F.col("part")).sortWithinPartitions(F.col("chunk").asc_nulls_first())
-    return dealt.mapInArrow(look_up, "chunk long, grams binary, found binary")
+    return dealt.mapInArrow(look_up, "chunk long, pack int, found binary")
 
 
 def held_out(id_column: str = "doc_id") -> Column:
@@ -357,7 +375,8 @@ def score_texts(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     Nulls: a null text is empty, so it has its end token alone; a null id counts as the
     empty text in the held-out rule. Repeated rows are learned from and scored each. A
     table without training rows has no counts: every symbol is then equally likely. Other
-    columns are ignored; an empty table gives no rows.
+    columns are ignored; an empty table gives no rows. Texts of any length are read whole;
+    equal texts have equal scores.
     """
     spark = docs.sparkSession
     bounded_batches(docs)
@@ -393,7 +412,7 @@ def score_texts(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
             codes, part = codes[place], part[place]
             cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(codes)]
             spans = [(i, min(i + GRAMS_IN_ROW, b)) for a, b in itertools.pairwise(cuts) for i in range(a, b, GRAMS_IN_ROW)]
-            columns = {"chunk": pa.array([chunk] * len(spans), pa.int64()), "part": pa.array([part[a] for a, _ in spans], pa.int32()), "grams": pa.array([codes[a:b].tobytes() for a, b in spans], pa.binary())}
+            columns = {"chunk": pa.array([chunk] * len(spans), pa.int64()), "part": pa.array([part[a] for a, _ in spans], pa.int32()), "pack": pa.array(range(len(spans)), pa.int32()), "grams": pa.array([packed(codes[a:b], order) for a, b in spans], pa.binary())}
             yield pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(len(spans), f.type)) for f in fields], schema=fields)
 
         for whole in batches:
@@ -417,7 +436,7 @@ def score_texts(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
                 ids = np.arange(row, row + len(lower))
                 row += len(lower)
                 made = [pa.array([chunk] * len(ids), pa.int64()), pa.array(ids), batch.column(0), batch.column(1), *map(pa.array, columns[:3], (pa.int64(), pa.int64(), pa.float64())), pa.array(columns[3], rare), pa.array(lower, pa.binary())]
-                yield pa.RecordBatch.from_arrays([*made, pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], schema=fields)
+                yield pa.RecordBatch.from_arrays([*made, pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], schema=fields)
                 for _, run in _slices(lower, CODES_AT_ONCE):
                     held.append(np.unique(gram_codes(run, order)))
                     if sum(map(len, held)) > 2 * CHUNK_GRAMS:
@@ -431,16 +450,17 @@ def score_texts(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
             yield from asked_rows()
 
     scored = "row long, doc_id {}, held_out boolean, n_tokens long, n_known long, base_score double".format(kind.simpleString())
-    schema = f"chunk long, {scored}, others array<struct<word:binary,n:long>>, text binary, part int, grams binary"
-    kinds = [pa.int64(), pa.int64(), to_arrow_type(kind), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), rare, pa.binary(), pa.int32(), pa.binary()]
-    fields = pa.schema(list(zip("chunk row doc_id held_out n_tokens n_known base_score others text part grams".split(), kinds, strict=True)))
+    schema = f"chunk long, {scored}, others array<struct<word:binary,n:long>>, text binary, part int, pack int, grams binary"
+    kinds = [pa.int64(), pa.int64(), to_arrow_type(kind), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), rare, pa.binary(), pa.int32(), pa.int32(), pa.binary()]
+    fields = pa.schema(list(zip("chunk row doc_id held_out n_tokens n_known base_score others text part pack grams".split(), kinds, strict=True)))
     read_rows = staged(rows.mapInArrow(read, schema), "lm-texts")
-    asked = read_rows.where(F.col("grams").isNotNull()).select("part", "chunk", "grams")
+    asked = read_rows.where(F.col("grams").isNotNull()).select("part", "chunk", "pack", "grams")
     chunks = sorted(r.chunk for r in asked.select("chunk").distinct().collect())
     places = F.broadcast(spark.createDataFrame(list(zip(chunks, range(len(chunks)), strict=True)), "chunk long, place int"))
     found = gram_probabilities(asked, grams, texts, order, parts)
-    met = read_rows.where(F.col("row").isNotNull()).drop("others", "part", "grams").unionByName(found, allowMissingColumns=True).join(places, "chunk")
-    dealt = met.repartitionById(max(1, len(chunks)), F.col("place")).sortWithinPartitions(F.col("row").asc_nulls_first())
+    # The grams stay in their chunk; only their probabilities come back, in the order of the packs.
+    met = read_rows.drop("others", "part").unionByName(found, allowMissingColumns=True).join(places, "chunk")
+    dealt = met.repartitionById(max(1, len(chunks)), F.col("place")).sortWithinPartitions(F.col("row").asc_nulls_first(), "pack")
     names = [f.split()[0] for f in scored.split(", ")]
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -448,14 +468,14 @@ def score_texts(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         for batch in batches:
             # A chunk's grams come before its texts.
             of_texts = pc.is_valid(batch.column(0))
-            packed = batch.filter(pc.invert(of_texts))
-            codes += packed.column(len(names) + 1).to_pylist()
-            values += packed.column(len(names) + 2).to_pylist()
+            of_grams = batch.filter(pc.invert(of_texts))
+            codes += of_grams.column(len(names) + 1).drop_null().to_pylist()
+            values += of_grams.column(len(names) + 2).drop_null().to_pylist()
             batch = batch.filter(of_texts)
             if not batch.num_rows:
                 continue
             if table is None:
-                table = Table(np.frombuffer(b"".join(codes), np.uint64), np.frombuffer(b"".join(values), np.float32))
+                table = Table(unpacked(codes, order), np.frombuffer(b"".join(values), "<f4"))
                 codes.clear()
                 values.clear()
             out = pa.array(score(table, batch.column(len(names)).to_pylist(), order))

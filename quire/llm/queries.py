@@ -62,7 +62,8 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP3_SQL = r"""
 WITH sizes AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS key FROM documents
 ), by_source AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sizes GROUP BY source
 ), ranked AS (
@@ -79,7 +80,7 @@ WITH sizes AS (
   SELECT source, source_size, rank, least(most, coalesce(height * weight, most)) AS target FROM filled LEFT JOIN water ON true
 ), placed AS (
   SELECT s.doc_id, s.size, t.source_size, t.target, t.rank, CAST(round(t.target) AS BIGINT) AS goal,
-    CAST(coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY md5(coalesce(CAST(s.doc_id AS VARCHAR), '')), s.doc_id, s.size
+    CAST(coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.key, s.doc_id, s.size
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
   FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
 ), taken AS (
