@@ -6,12 +6,19 @@ an article, neither is what lies outside it), link density, stop-word density an
 Short or otherwise ambiguous blocks stay open. In the second pass each open block inherits
 the label of its nearest decided neighbour - inside an article, of the nearest one in that
 article; between two equally near ones content wins there, and elsewhere boilerplate.
+
+A form is no content, unless it is what the page stands in: one that holds most of the
+text there is, prose among it, is taken for a plain container.
+
+The reader goes over a page once: the search for a closing tag or quote that is not there
+is never repeated, and an end tag without a start costs nothing, so time grows with length.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -34,7 +41,7 @@ STOP_WORDS = frozenset(
 #: Elements whose text is never shown as text.
 HIDDEN = frozenset("script style noscript template svg math iframe object audio video canvas select textarea button option datalist head title".split())
 #: Elements around the content that are not part of it.
-AROUND = frozenset("nav footer header aside form dialog menu".split())
+AROUND = frozenset("nav footer header aside dialog menu".split())
 CONTENT = frozenset(["article", "main"])
 BLOCK = frozenset(
     """
@@ -57,9 +64,14 @@ NOT_CONTENT = re.compile(
 )
 CONTENT_MARK = re.compile(r"""(?:itemprop\s*=\s*["']?articleBody|role\s*=\s*["']?(?:main|article)\b)""", re.I)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^'">])*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
+#: What begins a tag, a comment or a declaration; any other ``<`` is text.
+MARKUP = re.compile(r"<(?:(/?)([a-zA-Z][a-zA-Z0-9:-]*)|!--|[!?/])")
+VALUE_OR_END = re.compile(r""">|=\s*(["'])""")
+WORD = re.compile(r"[^\W\d_]+")
 #: Thresholds of the first pass: characters of a short block, share of link text, shares of stop words.
 SHORT, MOST_LINKS, FEW_STOPS, MANY_STOPS = 40, 0.4, 0.1, 0.2
+#: Share of a page's text from which a form is a container.
+CONTAINER_FORM = 0.5
 
 
 @dataclass
@@ -70,6 +82,7 @@ class Block:
     outside_content: bool
     link_chars: int
     heading: bool = False
+    form: int = 0
     label: bool | None = field(default=None)
 
 
@@ -78,39 +91,76 @@ class _Element:
     name: str
     excluded: bool
     content: int
+    form: int = 0
+
+
+_ROOT = _Element("", False, 0)
+
+
+class _Page:
+    """Cuts a page into markup and text, looking at no place twice."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.no_more: set[str] = set()
+
+    def find(self, what: str, at: int) -> int:
+        """As ``str.find``; once something is not found, it is not looked for again further on."""
+        if what in self.no_more:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.no_more.add(what)
+        return found
+
+    def tag_end(self, at: int) -> int:
+        """End of the tag whose attributes begin at ``at``; a quote that does not close is no quote."""
+        while match := VALUE_OR_END.search(self.page, at):
+            at = match.end()
+            if not match[1]:
+                return at
+            close = self.find(match[1], at)
+            at = close + 1 if close >= 0 else at
+        return len(self.page)
+
+    def after_close(self, name: str, at: int) -> int | None:
+        """Where the next end tag of that name ends; None if there is none."""
+        if name in self.no_more:
+            return None
+        end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(self.page, at)
+        if not end:
+            self.no_more.add(name)
+        return end.end() if end else None
 
 
 def blocks(page: str) -> list[Block]:
     """Blocks with text, in page order."""
+    source = _Page(page)
     out: list[Block] = []
     stack: list[_Element] = []
+    depth: Counter = Counter()
     parts: list[str] = []
-    link_chars = links = contents = 0
-    at, any_content = 0, False
+    link_chars = links = contents = forms = 0
+    at, any_content, n = 0, False, len(page)
 
     def end_block() -> None:
         nonlocal parts, link_chars
         if parts:
             if text := " ".join(html.unescape("".join(parts)).split()):
-                top = stack[-1] if stack else _Element("", False, 0)
-                heading = bool(stack) and stack[-1].name in HEADING
-                out.append(Block(text, top.content, bool(top.content), top.excluded, link_chars, heading))
+                top = stack[-1] if stack else _ROOT
+                out.append(Block(text, top.content, bool(top.content), top.excluded, link_chars, top.name in HEADING, top.form))
             parts, link_chars = [], 0
 
-    def pop(name: str) -> None:
+    def pop_one() -> str:
         nonlocal links
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i].name == name:
-                links -= sum(e.name == "a" for e in stack[i:])
-                del stack[i:]
-                return
+        name = stack.pop().name
+        depth[name] -= 1
+        links -= name == "a"
+        return name
 
-    n = len(page)
     while at < n:
-        match, cut = None, page.find("<", at)
-        while cut >= 0 and not (match := TOKEN.match(page, cut)):
-            cut = page.find("<", cut + 1)
-        text = page[at : cut if match else n]
+        match = MARKUP.search(page, at)
+        text = page[at : match.start() if match else n]
         if text:
             parts.append(text)
             if links:
@@ -118,101 +168,125 @@ def blocks(page: str) -> list[Block]:
         if not match:
             break
         at = match.end()
-        name = (match[2] or "").lower()
-        if not name:
+        if not match[2]:
+            close = source.find("-->" if match[0] == "<!--" else ">", at)
+            at = n if close < 0 else close + (3 if match[0] == "<!--" else 1)
             continue
+        name = match[2].lower()
+        end = source.tag_end(at)
+        inner, at = page[at : end - (page[end - 1] == ">")], end
         if match[1]:
             if name in BLOCK:
                 end_block()
-            if name not in VOID:
-                pop(name)
+            if depth[name]:
+                while pop_one() != name:
+                    pass
             continue
         if name in BLOCK:
             end_block()
         if name in HIDDEN:
-            if not match[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+            if not inner.endswith("/"):
+                after = source.after_close(name, at)
                 # Not closed: script and style run to the end; of others only the tag goes.
-                if end:
-                    at = end.end()
+                if after is not None:
+                    at = after
                 elif name in ("script", "style"):
                     break
             parts.append(" ")
             continue
         if name in VOID:
             parts.append(" ")
-            if name == "br" and re.match(r"\s*<br\b", page[at : at + 40], re.I):
+            if name == "br" and re.match(r"\s{0,40}<br\b", page[at : at + 44], re.I):
                 end_block()
             continue
-        if match[3].endswith("/") and name not in BLOCK:
+        if inner.endswith("/") and name not in BLOCK:
             continue
         while stack and name in SELF_CLOSING.get(stack[-1].name, ()):
-            stack.pop()
-        top = stack[-1] if stack else _Element("", False, 0)
-        attributes = {m[1].lower(): (m[2] or "").strip("\"'") for m in ATTRIBUTE.finditer(match[3])} if match[3] else {}
-        named = " ".join(attributes.get(k, "") for k in ("class", "id", "role"))
-        hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
-        in_article = name == "header" and top.content
-        excluded = top.excluded or hidden or (name in AROUND and not in_article) or (name not in ("body", "html") and bool(NOT_CONTENT.search(named)))
-        content = top.content
-        if not excluded and (name in CONTENT or CONTENT_MARK.search(match[3])):
+            pop_one()
+        top = stack[-1] if stack else _ROOT
+        excluded = top.excluded or (name in AROUND and not (name == "header" and top.content))
+        marked = name in CONTENT
+        if len(inner) > 3:
+            attributes = {m[1].lower(): (m[2] or "").strip("\"'") for m in ATTRIBUTE.finditer(inner)}
+            named = " ".join(attributes.get(k, "") for k in ("class", "id", "role"))
+            hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
+            excluded = excluded or hidden or (name not in ("body", "html", "form") and bool(NOT_CONTENT.search(named)))
+            marked = marked or bool(CONTENT_MARK.search(inner))
+        content, form = top.content, top.form
+        if name == "form" and not form:
+            forms += 1
+            form = forms
+        if marked and not excluded:
             contents += 1
             content, any_content = contents, True
-        if name == "a":
-            links += 1
-        stack.append(_Element(name, excluded, content))
+        links += name == "a"
+        depth[name] += 1
+        stack.append(_Element(name, excluded, content, form))
     end_block()
+    _close_forms(out)
     if any_content:
         for block in out:
             block.outside_content = block.outside_content or not block.inside
     return out
 
 
+def _close_forms(found: list[Block]) -> None:
+    """Text in forms is no content, but for a form that holds most of the text, prose among it."""
+    chars: Counter = Counter()
+    prose: set[int] = set()
+    for block in found:
+        if not block.outside_content:
+            chars[block.form] += len(block.text)
+            if block.form and block.form not in prose and first_pass(block):
+                prose.add(block.form)
+    most = CONTAINER_FORM * chars.total()
+    for block in found:
+        if block.form and not (block.form in prose and chars[block.form] > most):
+            block.outside_content = True
+
+
 def first_pass(block: Block) -> bool | None:
     """True: content, False: boilerplate, None: undecided."""
     if block.outside_content:
         return False
     if block.link_chars > MOST_LINKS * len(block.text):
         return False
-    words = block.text.lower().split()
-    density = sum(map(STOP_WORDS.__contains__, words)) / len(words)
+    words = WORD.findall(block.text.lower())
+    density = sum(map(STOP_WORDS.__contains__, words)) / max(1, len(words))
     if not block.inside and ("©" in block.text or "all rights reserved" in block.text.lower()) and len(block.text) < 300:
         return False
     if len(block.text) >= SHORT and density >= MANY_STOPS:
         return True
     if len(block.text) >= 5 * SHORT and density >= FEW_STOPS:
         return True
-    # A long block without stop words is boilerplate unless its place says otherwise.
-    return None if len(block.text) < 2 * SHORT or block.inside or density >= FEW_STOPS else False
+    # Tables, lists of names, formulas: without links their neighbours decide.
+    return None
 
 
 def second_pass(found: list[Block]) -> None:
-    """Open blocks take the label of the nearest decided neighbour."""
+    """Open blocks take the label of the nearest neighbour that the first pass decided by its text.
+
+    Blocks that their place rules out - menus, footers, what surrounds an article - say nothing of their neighbours. Where
+    no text is decided, open blocks are content: nothing speaks against them.
+    """
     before: list[int | None] = []
     last = None
     for i, block in enumerate(found):
-        last = i if block.label is not None else last
         before.append(last)
+        last = i if block.label is not None and not block.outside_content else last
     after: list[int | None] = [None] * len(found)
     following = None
     for i in range(len(found) - 1, -1, -1):
-        following = i if found[i].label is not None else following
         after[i] = following
+        following = i if found[i].label is not None and not found[i].outside_content else following
     labels = []
     for i, block in enumerate(found):
-        left, right = before[i], after[i]
-        if block.label is not None:
-            labels.append(block.label)
-            continue
-        near = [j for j in (left, right) if j is not None]
-        if block.inside:
-            # What surrounds an article does not speak for it, and an article that is open throughout is content.
-            near = [j for j in near if found[j].container == block.container]
-        if block.heading and right in near:
-            near = [right]  # a heading belongs to what it heads
-        if not near:
-            labels.append(block.inside)
-        elif len(near) == 2 and 2 * i == left + right and found[left].label != found[right].label:
+        near = [j for j in (before[i], after[i]) if j is not None and found[j].container == block.container]
+        if block.label is not None or not near:
+            labels.append(block.label is not False)
+        elif block.heading and after[i] in near:
+            labels.append(found[after[i]].label)  # a heading belongs to what it heads
+        elif len(near) == 2 and 2 * i == sum(near) and found[near[0]].label != found[near[1]].label:
             labels.append(block.inside)
         else:
             labels.append(found[min(near, key=lambda j: abs(i - j))].label)
@@ -236,7 +310,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
     A null or empty html, and a page without content, gives the empty text. Null ids and
     urls stay null; repeated rows are extracted each; other columns are ignored; an empty
-    table gives no rows. Pages of any length are read whole.
+    table gives no rows. Pages of any length are read whole, in time that grows with it.
     """
     rows = pages.select("page_id", "url", "html")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:2])

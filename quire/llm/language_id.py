@@ -33,14 +33,18 @@ _fold = bytes(c + 32 if 65 <= c <= 90 else (32 if c in b"\t\n\v\f\r" else (48 if
 
 @dataclass(frozen=True)
 class Settings:
-    """Of the network and its training. ``per_language`` bounds the labelled rows it is fitted on, ``languages`` the classes."""
+    """Of the network and its training.
+
+    ``per_language`` and ``sample`` bound the labelled rows it is fitted on: of each language
+    and in all. All languages are learned; with very many, fewer rows of each, one at least.
+    """
 
     window: int = 256
     widths: tuple[int, ...] = (2, 3, 4)
     filters: int = 16
     classes: int = 64
     per_language: int = 1500
-    languages: int = 200
+    sample: int = 60_000
     pieces: int = 3
     steps: int = 700
     batch: int = 128
@@ -194,24 +198,27 @@ def held_out(id_column: str = "doc_id"):
 
 
 def labelled_sample(docs: DataFrame, settings: Settings = Settings()) -> list[tuple[str, str]]:
-    """At most ``per_language`` rows of each of the most frequent languages, by a hash of the id; of each row some pieces of its text.
+    """A bounded number of rows of each language, drawn by a hash of id, text and label; of each row some pieces of its text.
 
-    Rows that are held out, or have no label or text, are never in it.
+    Rows that are held out, or have no label or text, are never in it. Rows that are equal
+    in all three count once, and null or shared ids don't tie rows together.
     """
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.languages).collect()
+    hashed = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text", "lang"), F.lit(1 << 40))
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("lang", "text", hashed.alias("h"))
+    found = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("rows")).collect()
     if not found:
         return []
-    hashed = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << 40))
-    share = F.try_element_at(F.create_map(*(F.lit(v) for row in found for v in (row["lang"], min(1.0, settings.per_language / row["count"])))), F.col("lang"))
+    most = max(1, min(settings.per_language, settings.sample // len(found)))
+    # Somewhat more are drawn, for the counts are near, and the surplus goes: by the hash again.
+    share = F.try_element_at(F.create_map(*(F.lit(v) for row in found for v in (row["lang"], min(1.0, (1.2 * most + 20) / row["rows"])))), F.col("lang"))
     size = settings.window
-    starts = [F.pmod(F.xxhash64("doc_id", F.lit(i)), F.greatest(F.lit(1), F.length("text") - size + 1)).cast("int") + 1 for i in range(settings.pieces)]
+    starts = [F.pmod(F.xxhash64("h", F.lit(i)), F.greatest(F.lit(1), F.length("text") - size + 1)).cast("int") + 1 for i in range(settings.pieces)]
     texts = F.array_distinct(F.array(*(F.substring("text", start, F.lit(size)) for start in starts)))
-    picked = rows.where(hashed < share * float(1 << 40)).select("lang", hashed.alias("h"), texts.alias("texts"))
+    picked = rows.where(F.col("h") < share * float(1 << 40)).select("lang", "h", texts.alias("texts")).groupBy("lang", "h").agg(F.min("texts").alias("texts"))
     by_lang: dict[str, list] = {}
     for row in picked.toLocalIterator():
         by_lang.setdefault(row.lang, []).append((row.h, row.texts))
-    return [(text, lang) for lang, got in by_lang.items() for _, texts in sorted(got)[: settings.per_language] for text in texts]
+    return [(text, lang) for lang, got in by_lang.items() for _, texts in sorted(got)[:most] for text in texts]
 
 
 def add_predictions(docs: DataFrame, net: Network, columns: list[str], lang: str = "lang_pred", score: str = "score") -> DataFrame:
@@ -233,22 +240,34 @@ def identify(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
     Fitted on ``labelled_sample`` of the same table; id, label and source are no inputs of
     a prediction. Nulls: a null or letterless text is ``und`` with score 0; a null label is
-    not learned from; a null id counts as the empty text in the held-out rule. Repeated
-    rows are predicted each and alike; other columns are ignored; an empty table, or one
-    without labels, is not predicted (no rows, or all ``und``).
+    not learned from; a null id counts as the empty text in the held-out rule. Texts of any
+    length are read whole; of languages with equal scores the first in code-point order is
+    given. Repeated rows are predicted each and alike; other columns are ignored; an empty
+    table, or one without labels, is not predicted (no rows, or all ``und``).
     """
     net = train(labelled_sample(docs, settings), settings)
     return add_predictions(docs, net, ["doc_id"]).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
 def with_known_language(docs: DataFrame, least_score: float, settings: Settings = Settings()) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose language is determined with at least that score."""
+    """The rows of ``docs``, with all their columns, whose language is determined with at least that score.
+
+    Null, empty and letterless texts have no language and go; a null id or label does not matter, repeated rows stay or
+    go together, texts of any length are read whole, and an empty table gives no rows. ``least_score`` is compared with
+    the score's place between that of a guess among the learned languages, 0, and certainty, 1, so that it means the
+    same for any number of languages; where only one was learned, letters suffice.
+    """
     bounded_batches(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(train(labelled_sample(docs, settings), settings))
+    net = train(labelled_sample(docs, settings), settings)
+    shared = docs.sparkSession.sparkContext.broadcast(net)
+    guess = 1 / max(1, len(net.labels))
+    least = guess + (1 - guess) * least_score if len(net.labels) > 1 else 0.0
+
+    place = docs.columns.index("text")
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, scores = predict(shared.value, batch.column("text").to_pylist())
-            yield batch.filter(pa.array([lang != UNDETERMINED and score >= least_score for lang, score in zip(langs, scores, strict=True)], pa.bool_()))
+            langs, scores = predict(shared.value, batch.column(place).to_pylist())
+            yield batch.filter(pa.array([lang != UNDETERMINED and score >= least for lang, score in zip(langs, scores, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(kept, docs.schema)

@@ -1,9 +1,12 @@
 import html
 import re
+import time
+from collections import Counter
 
 import duckdb
 import pytest
 
+from quire.llm import html_extract
 from quire.llm.html_extract import extract_pages, main_text
 
 PROSE = "This is the first paragraph of the article and it is long enough to be decided by the rules."
@@ -42,6 +45,50 @@ def test_generated_articles():
         assert main_text(page) == "\n".join(b for b in blocks if b)
 
 
+def pages_without_containers():
+    strip = re.compile(r"</?(?:article|main)\b[^>]*>", re.I)
+    return [(h, strip.sub("", h)) for (h,) in duckdb.sql("select html from '/root/testdata/sf0.01/pages.parquet'").fetchall()]
+
+
+def test_rules_find_the_article_where_no_tag_marks_it():
+    lost = false = total = 0
+    for page, bare in pages_without_containers():
+        want, got = (Counter(t.split("\n")) for t in (main_text(page), main_text(bare)))
+        lost, false, total = lost + (want - got).total(), false + (got - want).total(), total + want.total()
+    assert lost <= 0.05 * total and false <= 0.01 * total
+
+
+@pytest.mark.parametrize(("rule", "off"), [("MANY_STOPS", 0.0), ("MANY_STOPS", 2.0), ("FEW_STOPS", 2.0), ("MOST_LINKS", 9.0), ("SHORT", 0)])
+def test_each_rule_decides_something(monkeypatch, rule, off):
+    names = "<p>zwei drei vier</p>" + "<p>Katze Hund Maus Pferd Kuh Schwein Huhn Ziege Schaf Ente Gans Esel Taube</p>"
+    links = "<ul>" + "".join(f"<li><a href=a>{PROSE} {i}</a></li>" for i in range(3)) + "</ul>"
+    thin = "<p>" + "Katze Hund Maus der Pferd Kuh Esel Schwein " * 8 + "</p>"
+    page = links + names + "<p>a b</p>" + f"<p>{PROSE}</p>" + links + "<p>up to it</p>" + links + thin + links
+    before = main_text(page)
+    monkeypatch.setattr(html_extract, rule, off)
+    assert main_text(page) != before
+
+
+def test_a_form_around_the_page_is_a_container_and_others_are_not():
+    body = f"<h1>Head</h1><p>{PROSE}</p><p>{MORE}</p>"
+    assert main_text(f"<body><form action=x><nav><a href=y>{PROSE}</a></nav>{body}</form></body>") == f"Head\n{PROSE}\n{MORE}"
+    assert main_text(f"<body><form action=x><article>{body}</article><p>{MORE}</p></form></body>") == f"Head\n{PROSE}\n{MORE}"
+    assert main_text(f"{body}<form><p>{MORE}</p></form>") == f"Head\n{PROSE}\n{MORE}"
+
+
+HOSTILE = {
+    "open spans, stray ends": "<span>" * 20_000 + "</b>" * 200_000, "options": "<option>x" * 100_000, "buttons": "<button>x " * 100_000, "quotes": '<a href="x> ' * 90_001, "signs": "<" * 1_000_000,
+    "comments": "<!--" * 250_000, "ends": "</p>" * 250_000, "references": "&amp" * 250_000, "attributes": "<div " + "class= " * 150_000 + ">x", "textareas": "<textarea>" * 100_000, "breaks": "<br>" * 250_000,
+}
+
+
+@pytest.mark.parametrize("kind", HOSTILE)
+def test_hostile_pages_take_linear_time(kind):
+    began = time.thread_time()
+    main_text(HOSTILE[kind])
+    assert time.thread_time() - began < 2
+
+
 def test_query(spark, clashing):
     rows = [(1, "u", f"<p>{PROSE}</p>"), (1, "u", f"<p>{PROSE}</p>"), (None, None, None), (2, "v", f"<article><p>{'the word of ' * 40_000}</article>")]
     got = extract_pages(clashing(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()

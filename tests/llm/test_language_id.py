@@ -77,6 +77,60 @@ def test_sample_is_bounded_and_leaves_held_out_rows_alone(documents):
     assert not [t for t, _ in samples if t in held] and {lang for _, lang in samples} <= set(WORDS)
 
 
+def test_rows_without_ids_or_with_one_id_are_sampled_like_others(documents):
+    settings = L.Settings(window=64, per_language=20)
+    for doc_id in (None, 1):
+        docs = documents([(doc_id, text(lang, 30, i), lang, "s") for i, lang in zip(range(600), list(WORDS) * 200, strict=False)])
+        found = L.labelled_sample(docs, settings)
+        assert all(10 <= sum(1 for _, got in found if got == lang) / settings.pieces <= 20 for lang in WORDS)
+    same = documents([(None, "der und die", "de", "s")] * 500 + [(None, "the of and", "en", "s")] * 500)
+    assert sorted(L.labelled_sample(same, settings)) == [("der und die", "de"), ("the of and", "en")]
+
+
+def test_all_languages_are_learned_whatever_their_number(documents):
+    docs = documents([(i, f"{'abcdefghijklmnopqrstuvwxyz'[i % 26] * 3} word {i}", f"l{i % 260:03}", "s") for i in range(2600)])
+    found = L.labelled_sample(docs, L.Settings(window=64, sample=600, per_language=50))
+    assert {lang for _, lang in found} == {f"l{i:03}" for i in range(260)} and len(found) <= 600 * 3
+    assert L.train(found, L.Settings(window=64, filters=2, steps=1)).labels == [f"l{i:03}" for i in range(260)]
+
+
+def slow_prediction(net, whole):
+    """Window by window, place by place, filter by filter."""
+    s = net.settings
+    if not whole or not any(c.isalpha() for c in whole):
+        return "und", 0.0
+    data = [32 if c in b"\t\n\v\f\r" else 48 if 48 <= c <= 57 else c + 32 if 65 <= c <= 90 else c for c in whole.encode()]
+    total = np.zeros(len(net.labels))
+    for at in range(0, len(data), s.window):
+        piece = data[at : at + s.window]
+        classes = [int(net.byte_class[c]) for c in piece + [32] * (s.window - len(piece))]
+        peaks = [max(sum(float(table[i, classes[p + i], f]) for i in range(len(table))) for p in range(s.window - len(table) + 1)) for table in net.tables for f in range(s.filters)]
+        hidden = np.maximum(np.array(peaks) + net.bias, 0)
+        raw = np.exp(hidden @ net.weights + net.offset)
+        total += raw / raw.sum() * len(piece)
+    return net.labels[int(total.argmax())], float(total.max() / len(data))
+
+
+def test_query_equals_a_slow_network(documents):
+    """The query's predictions against a plain version of the same network, on whole texts of all kinds."""
+    settings = L.Settings(window=32, filters=2, widths=(2, 3), classes=16, per_language=30, steps=60)
+    data = [*rows(30), (400, None, "en", "s"), (401, "", "de", "s"), (402, "12 34", None, "s"), (403, "é\tÜber THE\nOF " * 30, None, "s"), (None, "und der", None, "s"), (3, "x", "fr", "s")]
+    docs = documents(data)
+    net = L.train(L.labelled_sample(docs, settings), settings)
+    got = sorted(((r.doc_id is None, r.doc_id or 0, r.lang_pred, round(r.score, 4)) for r in L.identify(docs, settings).collect()))
+    want = []
+    for d, t, *_ in data:
+        lang, score = slow_prediction(net, t)
+        want.append((d is None, d or 0, lang, round(score, 4)))
+    assert [g[:3] for g in got] == [w[:3] for w in sorted(want)]
+    assert np.allclose([g[3] for g in got], [w[3] for w in sorted(want)], atol=1e-3)
+
+
+def test_very_long_texts_are_read_to_the_end(net):
+    whole = text("en", 100, 1) + " " + text("de", 150_000, 2)
+    assert L.predict(net, [whole])[0] == ["de"]
+
+
 def test_no_labels_and_empty_table(documents):
     assert {r.lang_pred for r in L.identify(documents([(1, "text"), (2, "der")]), SMALL).collect()} == {"und"}
     assert L.identify(documents([]), SMALL).collect() == []
