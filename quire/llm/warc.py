@@ -4,8 +4,13 @@
 version back by its header lines and declared lengths, and ``convert`` synthesises the
 equivalent WARC records: identifiers, timestamps, types and digests. Archives on disk are
 written by Spark's text writer, whose line separator is the record end, so that the
-cluster's own committer guards against lost executors; they are read back as binary files
-and cut by their declared lengths.
+cluster's own committer guards against lost executors; they are read back as binary files,
+unzipped piece by piece and cut by their declared lengths. ``read_arc`` takes legacy files
+from storage the same way.
+
+Files are bounded by bytes: pages are written in classes of size, with fewer records in a
+file the larger they are, so neither side ever holds more than a file of about
+``FILE_BYTES``, or one record.
 """
 
 from __future__ import annotations
@@ -13,14 +18,16 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import shared_folder, staged
+from quire.llm.common import KeyFilter, shared_folder, staged
 
 #: Fixed values of the formats.
 ARC_FIELDS = {
@@ -33,8 +40,10 @@ RECORD_END = b"\r\n\r\n"
 KEY_HEADER, REFERS_HEADER = "X-Source-Key", "X-Refers-To-Source-Key"
 #: Archive date of rows that have none.
 UNDATED = "19700101000000"
-#: Records in an archive file, at most; files hold at most that many texts in memory when read.
-RECORDS_PER_FILE = 2_000
+#: Bytes of payload in an archive file, about, and of a page of the smallest class of size; each class is four times the one before.
+FILE_BYTES, SMALL_PAGE = 128 << 20, 64 << 10
+#: Bytes unzipped at once.
+PIECE = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -47,6 +56,10 @@ class ArcRecord:
     code: str
     body: bytes
 
+    @property
+    def is_http(self) -> bool:
+        return self.body.startswith(b"HTTP/")
+
     @property
     def http(self) -> tuple[dict[str, str], bytes]:
         """HTTP headers, by lower-case name, and the payload of an http record."""
@@ -73,7 +86,7 @@ def write_arc(rows: Iterable[tuple[int | None, str | None, bytes]], version: int
 
 
 def parse_arc(data: bytes) -> Iterator[ArcRecord]:
-    """Records of an ARC file, without its version block. Fields follow the file's own version; lengths are the declared ones."""
+    """Records of an ARC file, its version block first. Fields follow the file's own version; lengths are the declared ones."""
     at, version = 0, 0
     while at < len(data):
         end = data.index(b"\n", at)
@@ -87,6 +100,7 @@ def parse_arc(data: bytes) -> Iterator[ArcRecord]:
             version = int(body.split(b" ", 1)[0])
             if version not in ARC_FIELDS:
                 raise ValueError(f"ARC version {version}")
+            yield ArcRecord(version, fields[0], fields[1], fields[2], fields[3], "-", body)
             continue
         if len(fields) != len(ARC_FIELDS[version].split(b" ")):
             raise ValueError(f"version {version} header line of {len(fields)} fields")
@@ -102,48 +116,108 @@ def record_id(record: ArcRecord, key: str) -> str:
     return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{record.url} {record.date} {key}')}"
 
 
-def convert(record: ArcRecord, refers_to: str | None = None) -> bytes:
-    """The WARC record of an ARC record, without the record end; with ``refers_to`` a revisit of the row with that key."""
-    headers, payload = record.http
-    head = record.body[: len(record.body) - len(payload)]
-    date = record.date.ljust(14, "0")
-    stamp = f"{date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:14]}Z"
-    key, kind, block = headers.get(KEY_HEADER.lower(), ""), "response", record.body
-    lines = ["WARC/1.1"]
-    extra = []
-    if refers_to is not None:
-        kind, block = "revisit", head
-        extra = [f"WARC-Profile: {REVISIT_PROFILE}", f"{REFERS_HEADER}: {refers_to}"]
-    lines += [
-        f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <{record_id(record, key)}>",
-        f"WARC-Date: {stamp}",
-        f"WARC-Target-URI: {record.url}",
-        f"WARC-IP-Address: {record.ip}",
-        f"WARC-Payload-Digest: sha1:{sha1_base32(payload)}",
-        f"WARC-Block-Digest: sha1:{sha1_base32(block)}",
-        *extra,
-        "Content-Type: application/http;msgtype=response",
-        f"Content-Length: {len(block)}",
-    ]
+def stamp(date: str) -> str:
+    """An archive date of 14 digits, or the first of them, as a WARC date."""
+    date = date + UNDATED[len(date) :] if len(date) < 14 else date
+    return f"{date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:14]}Z"
+
+
+def convert(record: ArcRecord, refers_to: tuple[str, str] | None = None) -> bytes:
+    """The WARC record of an ARC record, without the record end; with ``refers_to``, the key and URL of another row, a revisit of that.
+
+    The version block becomes a warcinfo, http captures responses or revisits, and captures by other protocols resources.
+    """
+    headers, payload = record.http if record.is_http else ({}, record.body)
+    key, block, content = headers.get(KEY_HEADER.lower(), ""), record.body, record.content_type
+    extra: list[str] = []
+    if record.url.startswith("filedesc:"):
+        kind, content = "warcinfo", "application/warc-fields"
+        block = b"software: quire\r\nformat: WARC File Format 1.1\r\ndescription: converted from an ARC file of version %d\r\n" % record.version
+        extra = [f"WARC-Filename: {record.url.removeprefix('filedesc://')}"]
+    elif not record.is_http:
+        kind = "resource"
+    else:
+        kind, content = "response", "application/http;msgtype=response"
+        if refers_to is not None:
+            other = ArcRecord(record.version, refers_to[1], record.ip, record.date, "", "-", b"")
+            kind, block = "revisit", record.body[: len(record.body) - len(payload)]
+            extra = [
+                f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: <{record_id(other, refers_to[0])}>", f"WARC-Refers-To-Target-URI: {other.url}",
+                f"WARC-Refers-To-Date: {stamp(record.date)}", f"{REFERS_HEADER}: {refers_to[0]}",
+            ]
+        extra.append(f"WARC-Payload-Digest: sha1:{sha1_base32(payload)}")
+    target = [] if kind == "warcinfo" else [f"WARC-Target-URI: {record.url}", f"WARC-IP-Address: {record.ip}"]
+    lines = [
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_id(record, key)}>", f"WARC-Date: {stamp(record.date)}", *target, *extra,
+        f"WARC-Block-Digest: sha1:{sha1_base32(block)}", f"Content-Type: {content}", f"Content-Length: {len(block)}",
+    ]
     return "\r\n".join(lines).encode("utf-8", "surrogateescape") + RECORD_END + block
 
 
-def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers, by lower-case name, and the block of each record, by the declared lengths."""
-    at = 0
-    while at < len(data):
-        end = data.index(RECORD_END, at)
-        first, *lines = data[at:end].decode("utf-8", "surrogateescape").split("\r\n")
+def pieces(content: bytes) -> Iterator[bytes]:
+    """The bytes of a file, plain or gzip - of one member or many - in bounded pieces."""
+    if content[:2] != b"\x1f\x8b":
+        for at in range(0, len(content), PIECE):
+            yield content[at : at + PIECE]
+        return
+    member, begun = zlib.decompressobj(31), False
+    for at in range(0, len(content), PIECE // 4):
+        rest = content[at : at + PIECE // 4]
+        while rest:
+            begun = True
+            if made := member.decompress(rest, PIECE):
+                yield made
+            rest = member.unconsumed_tail or member.unused_data
+            if member.eof:
+                member, begun = zlib.decompressobj(31), False
+    while begun and (made := member.decompress(b"", PIECE)):
+        yield made
+    if begun and not member.eof:
+        raise ValueError("a gzip member ends too soon")
+
+
+def parse_warc(content: Iterable[bytes] | bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers, by lower-case name, and the block of each record, by the declared lengths; the file comes in pieces, of which one record is held."""
+    source = iter([content] if isinstance(content, bytes) else content)
+    held = bytearray()
+
+    def filled(size: int) -> bool:
+        while len(held) < size and (piece := next(source, None)) is not None:
+            held.extend(piece)
+        return len(held) >= size
+
+    while filled(1):
+        looked = 0
+        while (end := held.find(RECORD_END, looked)) < 0:
+            looked = max(0, len(held) - len(RECORD_END))
+            if not filled(len(held) + 1):
+                raise ValueError("a record's header does not end")
+        first, *lines = held[:end].decode("utf-8", "surrogateescape").split("\r\n")
         if not first.startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
+            raise ValueError(f"no WARC record where one should begin: {first[:40]!r}")
         headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
-        length = int(headers["content-length"])
         start = end + len(RECORD_END)
-        if data[start + length : start + length + len(RECORD_END)] != RECORD_END:
-            raise ValueError(f"record at byte {at} does not end where it declares")
-        yield headers, data[start : start + length]
-        at = start + length + len(RECORD_END)
+        over = start + int(headers["content-length"])
+        if not filled(over + len(RECORD_END)) or held[over : over + len(RECORD_END)] != RECORD_END:
+            raise ValueError(f"{headers.get('warc-record-id')} does not end where it declares")
+        yield headers, bytes(held[start:over])
+        del held[: over + len(RECORD_END)]
+
+
+def read_arc(spark: SparkSession, path: str) -> DataFrame:
+    """Records of the ARC files under ``path``, plain or gzip: file, version, url, ip, date, content_type, code, body, and warc, the converted record."""
+    names = ["file", "version", "url", "ip", "date", "content_type", "code", "body", "warc"]
+    kinds = [pa.string(), pa.int32(), *[pa.string()] * 5, pa.binary(), pa.binary()]
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for record in parse_arc(b"".join(pieces(content.as_py()))):
+                    row = (file, record.version, record.url, record.ip, record.date, record.content_type, record.code, record.body, convert(record))
+                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(parse, "file string, version int, url string, ip string, date string, content_type string, code string, body binary, warc binary")
 
 
 def write_warc(pages: DataFrame, path: str) -> None:
@@ -152,44 +226,54 @@ def write_warc(pages: DataFrame, path: str) -> None:
     Of rows with equal payloads the one with the largest page_id is a response and the
     others revisit it. Nulls: a null html is an empty payload, a null url is written as
     ``-``, a null page_id is smaller than any other. Rows equal in page_id and payload are
-    the same capture: where they are the group's largest, all are responses. Only the
-    groups of several payloads take part in a join; texts stay where they were read.
+    the same capture: where they are the group's largest, all are responses. Only rows
+    whose payload may occur several times take part in a join; the others stay where they
+    were read. Pages of any size below 2 GB are written whole; an empty table makes no
+    files.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
     # Payloads are equal if both digests and the length are.
-    payload = F.concat(F.sha2(F.col("html").cast("binary"), 256), F.lit(":"), F.octet_length("html").cast("string"))
-    groups = rows.select(payload.alias("payload"), "page_id").groupBy("payload")
-    several = staged(groups.agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "warc-groups")
-    labelled = rows.withColumn("payload", payload).join(several, "payload", "left")
-    refers = F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last"))
+    rows = rows.withColumn("payload", F.concat(F.sha2(F.col("html").cast("binary"), 256), F.lit(":"), F.octet_length("html").cast("string")))
+    classes = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.lit(1), F.octet_length("html")) / SMALL_PAGE) / 2)).cast("int")
+    groups = rows.groupBy("payload").agg(F.max(F.struct("page_id", "url")).alias("last"), F.count(F.lit(1)).alias("n"), F.max(classes).alias("kind"))
+    groups = staged(groups.where("n > 1 OR kind > 0"), "warc-groups")
+    several = groups.where("n > 1").select(F.col("payload").alias("of"), "last")
+    kinds = {0, *(r.kind for r in groups.select("kind").distinct().collect())}
+    flagged = KeyFilter(several, ["of"], several.count()).flagged(rows, [F.col("payload")], "may")
+    met = flagged.where("may").join(several, F.col("payload") == F.col("of"), "left").drop("of")
+    labelled = flagged.where("NOT may").withColumn("last", F.lit(None).cast(several.schema["last"].dataType)).unionByName(met)
+    refers = F.when(F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last.page_id")), F.col("last"))
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
         for number, batch in enumerate(batches):
             keys, urls, htmls, lasts = (column.to_pylist() for column in batch.columns)
-            # Both versions of the legacy format occur, by batch.
-            arc = write_arc(zip(keys, urls, htmls, strict=True), 1 + number % 2)
-            out = [convert(record, None if last is None else str(last)) for record, last in zip(parse_arc(arc), lasts, strict=True)]
+            # Both versions of the legacy format occur.
+            arc = parse_arc(write_arc(zip(keys, urls, htmls, strict=True), 1 + (task + number) % 2, f"pages-{task}-{number}.arc"))
+            out = [convert(next(arc))]
+            out += [convert(record, None if last is None else (str(last["page_id"]), arc_url(last["url"]))) for record, last in zip(arc, lasts, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
-    made = labelled.select("page_id", "url", F.col("html").cast("binary"), refers.alias("refers_to")).mapInArrow(records, "record binary")
-    made.select(F.col("record").cast("string").alias("value")).write.option("lineSep", RECORD_END.decode()).option("compression", "gzip").option(
-        "zlib.compress.level", "BEST_SPEED"
-    ).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    for kind in sorted(kinds):
+        own = labelled.where(classes == kind) if len(kinds) > 1 else labelled
+        made = own.select("page_id", "url", F.col("html").cast("binary"), refers.alias("refers_to")).mapInArrow(records, "record binary")
+        writer = made.select(F.col("record").cast("string").alias("value")).write.option("lineSep", RECORD_END.decode()).option("compression", "gzip")
+        most = max(1, FILE_BYTES // (SMALL_PAGE * 4**kind))
+        writer.option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", most).text(f"{path}/size={kind}")
 
 
 def read_warc(df: DataFrame) -> DataFrame:
-    """Records of WARC files read as binaryFile: page_id, url, record_type, payload_bytes, payload_digest, refers_to, record_id."""
+    """Responses and revisits of WARC files read as binaryFile: page_id, url, record_type, payload_bytes, payload_digest, refers_to, record_id."""
     schema = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, record_id string"
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zlib
-
         for batch in batches:
             for content in batch.column(0):
-                data = content.as_py()
                 out: list[tuple] = []
-                for headers, block in parse_warc(zlib.decompress(data, 31) if data[:2] == b"\x1f\x8b" else data):
+                for headers, block in parse_warc(pieces(content.as_py())):
+                    if headers["warc-type"] not in ("response", "revisit"):
+                        continue
                     head, _, payload = block.partition(RECORD_END)
                     http = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("latin-1").split("\r\n")[1:])}
                     key, digest = http.get(KEY_HEADER.lower(), ""), headers["warc-payload-digest"].removeprefix("sha1:")
@@ -209,11 +293,11 @@ def archive_pages(pages: DataFrame, path: str | None = None) -> DataFrame:
     """Writes the WARC archives of ``pages`` under ``path`` (a new folder of the shared one if None) and reads them back.
 
     One row per page: page_id, payload_bytes, payload_digest, record_type, refers_to, url,
-    record_id. See ``write_warc`` for nulls, ties and repeated rows; an empty table gives
-    no records.
+    record_id. See ``write_warc`` for nulls, ties, repeated rows and very long pages; an
+    empty table gives no records.
     """
     spark = pages.sparkSession
     path = path or f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     write_warc(pages, path)
-    found = read_warc(spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path))
+    found = read_warc(spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", True).load(path))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "record_id")
