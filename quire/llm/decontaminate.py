@@ -9,12 +9,14 @@ edit, so a hit counts only if its piece's partner follows or precedes it with at
 Myers' bit-parallel distance verifies each place that is left.
 
 Items are the stated query set: they are taken in blocks of a bounded number of
-characters, each block matched against all rows in a pass of its own, so what is broadcast
-has a fixed bound however many items there are.
+characters, each block matched against all rows in a pass of its own. Where there are
+several, a block's matches are staged and its broadcast is released before the next one
+begins, so what is broadcast has a fixed bound however many items there are.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -24,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import bounded_batches
+from quire.llm.common import KeyFilter, bounded_batches, staged
 
 #: Share of an item's characters that may be edited.
 RATE = 0.1
 #: Characters of a block of items.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 2_000_000
 
 _to_space = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 #: Latin-1 and general punctuation in UTF-8, but for the letters among them.
@@ -186,19 +188,30 @@ def _matcher(items: list[tuple[int, str]], rate: float) -> Matcher:
 def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row per document and item that occurs in it: doc_id, item_id, distance, text_start, text_end.
 
-    Places are those of the best occurrence in the normalised text, text_start being where
-    its search window starts. Nulls: a null or wordless text holds nothing, a null or
+    Places are those of the best occurrence in the normalised text, of equally good ones the
+    first, text_start being where its search window starts. Texts of any length are searched
+    whole. Nulls: a null or wordless text holds nothing, a null or
     wordless item is in nothing; a null doc_id or item_id is carried through. Repeated rows
     of documents give repeated matches; items of equal text match alike. Other columns are
     ignored; an empty table on either side gives no rows.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").alias("doc_id"), "text")
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, item_id long, distance int, text_start int, text_end int"
-    out = spark.createDataFrame([], schema)
-    for block in item_blocks(benchmark, block_chars):
-        shared = spark.sparkContext.broadcast(block)
+    found = [kept for kept, _ in _passes(rows, benchmark, rate, block_chars)]
+    return functools.reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], _schema(rows))
+
+
+def _schema(rows: DataFrame) -> str:
+    return f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, item_id long, distance int, text_start int, text_end int"
+
+
+def _passes(rows: DataFrame, benchmark: DataFrame, rate: float, block_chars: int) -> Iterator[tuple[DataFrame, object]]:
+    """Matches of each block of items in ``rows`` (doc_id, text), with the block's broadcast, or None where they are staged and it is gone."""
+    blocks = item_blocks(benchmark, block_chars)
+    block, several = next(blocks, None), False
+    while block is not None:
+        following = next(blocks, None)
+        several = several or following is not None
+        shared = rows.sparkSession.sparkContext.broadcast(block)
 
         def match(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             matcher = _matcher(shared.value, rate)
@@ -208,20 +221,42 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, bloc
                 kinds = [batch.schema.field(0).type, pa.int64(), pa.int32(), pa.int32(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "distance", "text_start", "text_end"])
 
-        out = out.unionByName(rows.mapInArrow(match, schema))
-    return out
+        found = rows.mapInArrow(match, _schema(rows))
+        if several:
+            found = staged(found, "item-matches")
+            shared.destroy()
+            shared = None
+        yield found, shared
+        block = following
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that no item occurs in; rows are filtered where they were read."""
-    bounded_batches(docs)
-    for block in item_blocks(benchmark, block_chars):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+    """The rows of ``docs``, with all their columns, that no item occurs in.
 
-        def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    With one block of items rows are filtered where they were read; with several, the digests of the texts that hold some
+    item are staged block by block, and rows with such a text are taken out at the end. A null or wordless text stays, a
+    null or wordless item is in nothing; ids don't matter and repeated rows share their fate. Texts of any length are
+    searched whole; an empty table on either side takes nothing away.
+    """
+    bounded_batches(docs)
+    blocks = item_blocks(benchmark, block_chars)
+    block, following = next(blocks, None), next(blocks, None)
+    if block is None:
+        return docs
+    if following is None:
+        shared, place = docs.sparkSession.sparkContext.broadcast(block), docs.columns.index("text")
+
+        def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = _matcher(shared.value, rate)
             for batch in batches:
-                yield batch.filter(pa.array([not matcher.matches(text) for text in batch.column("text").to_pylist()], pa.bool_()))
-
-        docs = docs.mapInArrow(clean, docs.schema)
-    return docs
+                yield batch.filter(pa.array([not matcher.matches(text) for text in batch.column(place).to_pylist()], pa.bool_()))
+
+        return docs.mapInArrow(clean, docs.schema)
+    digest = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    rows = docs.select(digest.alias("doc_id"), "text")
+    found = functools.reduce(DataFrame.unionByName, [kept for kept, _ in _passes(rows, benchmark, rate, block_chars)])
+    dirty = staged(found.select(F.col("doc_id").alias("__dirty__")).distinct(), "dirty-texts")
+    keyed = docs.select(F.struct("*").alias("__row__"), digest.alias("__digest__"))
+    flagged = KeyFilter(dirty, ["__dirty__"], dirty.count()).flagged(keyed, [F.col("__digest__")], "may")
+    kept = flagged.where("NOT may").unionByName(flagged.where("may").join(dirty, F.col("__digest__") == F.col("__dirty__"), "left_anti"))
+    return kept.select("__row__.*")

@@ -12,11 +12,15 @@ consecutive rows are the lines of an id matrix; ``cu_seqlens`` are the cumulativ
 of its segments and ``position_resets`` the places where positions start again at zero.
 Each segment names its document, its number within the document, and its first token's
 place there: ``unpack`` restores every document from these.
+
+``write_packs`` puts the rows into files: shards of fixed-width binary records, which
+``map_shard`` maps into memory as a matrix, and an index with the segments of each row.
 """
 
 from __future__ import annotations
 
 import itertools
+import os
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -26,8 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import bounded_batches
-from quire.llm.token_count import PartTable, Splitter
+from quire.llm.common import bounded_batches, removed, staged
+from quire.llm.token_count import PartTable, Splitter, runs
 
 #: Tokens of a block, about: what one packing holds in memory.
 BLOCK_TOKENS = 4_000_000
@@ -98,12 +102,12 @@ def encode_texts(texts: list[str], model_file: str) -> Iterator[bytes]:
         _tables[model_file] = table
     table = _tables[model_file]
     get, encode = table.__getitem__, table.splitter.model.encode
-    for at in range(0, len(texts), 256):
-        split = [table.splitter.split(text) for text in texts[at : at + 256]]
+    for run in runs(texts):
+        split = [table.splitter.split(text) for text in run]
         for parts in split:
             table.unknown.extend(itertools.filterfalse(table.__contains__, parts or ()))
         table.learn(split)
-        for text, parts in zip(texts[at : at + 256], split, strict=True):
+        for text, parts in zip(run, split, strict=True):
             yield np.array(encode(text), "<u2").tobytes() if parts is None else b"".join(map(get, parts))
 
 
@@ -114,8 +118,9 @@ def pack(docs: DataFrame, model_file: str, length: int = 2048, end_id: int | Non
     (number of each segment in its document), starts (its first token's place there),
     cu_seqlens, position_resets. A null text counts as empty; an empty text is its end
     token, and without one it takes no place. Null ids and repeated rows are documents
-    like any other; their segments follow each other. Other columns are ignored; an empty
-    table gives no rows.
+    like any other; their segments follow each other. Of pieces of one length the earlier
+    goes first. Texts of any length are split, never cut off. Other columns are ignored; an
+    empty table gives no rows.
     """
     bounded_batches(docs)
     rows = docs.select(F.col("doc_id").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
@@ -163,6 +168,30 @@ def pack(docs: DataFrame, model_file: str, length: int = 2048, end_id: int | Non
     return rows.mapInArrow(packed, f"pack_id long, ids binary, n_tokens int, doc_ids array<{kind}>, segments {array}, starts {array}, cu_seqlens {array}, position_resets {array}")
 
 
+def record_type(length: int) -> np.dtype:
+    """A record of a shard: the row's number, its tokens without padding, its ids, and a line end."""
+    return np.dtype([("pack_id", "<i8"), ("n_tokens", "<i4"), ("ids", "<u2", (length,)), ("end", "u1")])
+
+
+def write_packs(packs: DataFrame, path: str) -> None:
+    """Writes packed rows under ``path``: ``ids``, shards of ``record_type`` records, and ``index``, Parquet of everything else.
+
+    The shards are written by Spark's own committer, so a lost executor leaves no half of one; its line separator is the
+    byte that ends a record. A shard without rows is an empty file.
+    """
+    held = staged(packs, "packs")
+    little = lambda column, bytes_: F.unhex(F.concat(*(F.substring(F.lpad(F.hex(F.col(column).cast("long")), 16, "0"), 15 - 2 * i, 2) for i in range(bytes_))))
+    record = F.concat(little("pack_id", 8), little("n_tokens", 4), "ids")
+    held.select(record.cast("string").alias("value")).write.option("lineSep", "\n").text(f"{path}/ids")
+    held.drop("ids").write.parquet(f"{path}/index")
+    removed(held)
+
+
+def map_shard(file: str, length: int) -> np.ndarray:
+    """The records of a shard in a local file, mapped and not read; its ``ids`` are the packed id matrix."""
+    return np.memmap(file, record_type(length), "r") if os.path.getsize(file) else np.empty(0, record_type(length))
+
+
 def unpack(packs: Iterable, end_id: int | None = 2) -> dict[object, list[int]]:
     """Ids of each document of some packed rows, end token included; for documents with ids of their own."""
     parts: dict[object, dict[int, np.ndarray]] = defaultdict(dict)

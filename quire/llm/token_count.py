@@ -7,7 +7,7 @@ The library's encoder is only asked for pre-tokens that need merging:
   spans such a cut, so the counts of the parts add up to the count of the text;
 * vocabulary strings that encode alone as one token are found once per process
   (``whole_tokens``) and count as one without being encoded;
-* the other pre-tokens are encoded by the library once and remembered in a bounded table.
+* the other pre-tokens are encoded by the library once and remembered in a table of bounded bytes.
 
 A text holding the space mark itself, which the library takes for a space, is encoded as
 a whole.
@@ -27,8 +27,23 @@ from pyspark.sql import functions as F
 
 #: The model's mark for a space.
 MARK = "▁"
-#: Pre-tokens remembered per process; beyond it the table starts anew.
-REMEMBERED = 400_000
+#: Bytes of the pre-tokens remembered per process, about, each taking some beside its text; beyond it the table starts anew.
+REMEMBERED, EACH = 48 << 20, 120
+#: Texts, and characters of them, that are split at once, about.
+TEXTS_AT_ONCE, CHARS_AT_ONCE = 256, 4_000_000
+
+
+def runs(texts: list[str]) -> Iterator[list[str]]:
+    """Texts in runs of a bounded number and length; a longer text is a run of its own."""
+    run, held = [], 0
+    for text in texts:
+        if run and (len(run) == TEXTS_AT_ONCE or held + len(text) > CHARS_AT_ONCE):
+            yield run
+            run, held = [], 0
+        run.append(text)
+        held += len(text)
+    if run:
+        yield run
 
 
 class Splitter:
@@ -76,6 +91,7 @@ class PartTable(dict):
         apart[1::2] = ids
         self.whole = dict(zip(splitter.whole_tokens, values(apart, at), strict=True))
         self.unknown: list[str] = []
+        self.held = 0
         super().__init__(self.whole)
 
     def __missing__(self, part: str) -> int:
@@ -86,10 +102,15 @@ class PartTable(dict):
     def learn(self, block: list[list[str] | None] = []) -> None:
         """Gives the noted parts their values; where the table is full it starts anew, with all parts of the block."""
         unknown, self.unknown = dict.fromkeys(self.unknown), []
-        if len(self) + len(unknown) > len(self.whole) + REMEMBERED:
+        size = sum(map(len, unknown))
+        if self.held + size + EACH * len(unknown) > REMEMBERED and self.held:
             self.clear()
             self.update(self.whole)
+            self.held = 0
             unknown |= dict.fromkeys(part for parts in block for part in parts or () if part not in self)
+            size = sum(map(len, unknown))
+        # What the library makes of a part takes about as much again.
+        self.held += 2 * size + EACH * len(unknown)
         values = itertools.chain.from_iterable(self.values(*merged) for merged in self.splitter.merge(list(unknown)))
         self.update(zip(unknown, values, strict=True))
 
@@ -108,9 +129,8 @@ def count_texts(texts: list[str | None], model_file: str) -> list[int]:
     table = _tables[model_file]
     get, split, encode = table.__getitem__, table.splitter.split, table.splitter.model.encode
     counts: list[int] = []
-    for at in range(0, len(texts), 256):
+    for block in runs([text or "" for text in texts]):
         missed = [0]
-        block = [text or "" for text in texts[at : at + 256]]
         for text in block:
             parts = split(text)
             counts.append(len(encode(text)) if parts is None else sum(map(get, parts)))

@@ -76,6 +76,7 @@ def test_query(documents, clashing, benchmark):
     kept = without_contaminated(docs, benchmark)
     assert kept.columns == docs.columns and sorted((r.doc_id, r.text) for r in kept.collect() if r.text is not None) == [(1, "clean text of other words"), (3, "")]
     assert kept.count() == 3
+    assert sorted(map(str, without_contaminated(docs, benchmark, block_chars=100).collect())) == sorted(map(str, kept.collect()))
 
 
 def test_empty_tables(documents, benchmark, spark):

@@ -57,3 +57,16 @@ def test_rows_are_well_filled(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     counts = [r.n_tokens for r in packing.pack(docs, tokenizer_file(), length=2048).collect()]
     assert np.sum(counts) / (2048 * len(counts)) > 0.97
+
+
+def test_shards_hold_the_rows(spark, documents, tmp_path):
+    docs = documents([(i, f"word number {i} " * (i % 90)) for i in range(300)] + [(None, None), (7, "\n" * 40)])
+    rows = packing.pack(docs.repartition(3), tokenizer_file(), length=64)
+    packing.write_packs(rows, f"file://{tmp_path}/out")
+    want = {r.pack_id: r for r in rows.collect()}
+    shards = [packing.map_shard(str(f), 64) for f in sorted((tmp_path / "out/ids").glob("part-*"))]
+    got = np.concatenate(shards)
+    assert len(got) == len(want) and set(got["end"].tolist()) == {10}
+    assert all(want[r["pack_id"]].ids == r["ids"].tobytes() and want[r["pack_id"]].n_tokens == r["n_tokens"] for r in got)
+    index = {r.pack_id: r for r in spark.read.parquet(f"file://{tmp_path}/out/index").collect()}
+    assert all(index[i].cu_seqlens == r.cu_seqlens and index[i].position_resets == r.position_resets and index[i].doc_ids == r.doc_ids for i, r in want.items())
