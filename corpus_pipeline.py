@@ -8,8 +8,8 @@ from quire.llm import decontaminate, language_id, mixing, packing, simhash
 from quire.llm.common import staged
 from quire.llm.queries import tokenizer_file
 
-#: Least score of a language; a short clean text may be uncertain between languages, so only the worst go.
-LEAST_LANGUAGE_SCORE = 0.3
+#: Least score of a language, from 0 for a guess to 1; a short clean text may be uncertain between languages, so only the worst go.
+LEAST_LANGUAGE_SCORE = 0.2
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
