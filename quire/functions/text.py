@@ -53,6 +53,12 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, "(?U)\\s+", " "))
 
 
+def clean_lines(text: Column) -> Column:
+    """The lines of a text, each cleaned and collapsed: one pass over the whole text instead of one over each line."""
+    spaced = F.regexp_replace(clean(text), "(?U)[\\s&&[^\\n]]+", " ")
+    return F.split(F.trim(spaced), " ?\\n ?")
+
+
 def strip_accents(text: Column) -> Column:
     return F.regexp_replace(F.translate(text, ACCENTED, BASE), "\\p{Mn}+", "")
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import ordinals
-from quire.functions.text import clean, collapse, is_prose_line
+from quire.functions.text import clean_lines, is_prose_line
 from quire.operators import entities as E
 from quire.operators import resolve as R
 from quire.operators.backends import Backend, Context
@@ -23,8 +23,8 @@ def lines_of(documents: DataFrame) -> DataFrame:
 
 def units_of(documents: DataFrame) -> DataFrame:
     """(doc_id, line_no, page_no, unit): the prose lines, cleaned."""
-    lines = lines_of(documents).withColumn("unit", collapse(clean(F.col("line"))))
-    return lines.where(is_prose_line(F.col("unit"))).select("doc_id", "line_no", "page_no", "unit")
+    lines = documents.select("doc_id", F.posexplode(clean_lines(F.col("text"))).alias("line_no", "unit")).where(is_prose_line(F.col("unit")))
+    return lines.select("doc_id", "line_no", F.floor(F.col("line_no") / LINES_PER_PAGE).cast("int").alias("page_no"), "unit")
 
 
 def text_hash(text: Column) -> Column:
@@ -38,13 +38,14 @@ def translate_documents(
     """(units with their translation, distinct translations), the backend being called once for each distinct remainder.
 
     The final units - prefixes split off, guarded texts aside - are made first and reduced
-    to distinct ones, so neither a prefix nor a repeated line costs a call. The distinct
-    translations are staged before the units are joined to them.
+    to distinct ones, so neither a prefix nor a repeated line costs a call. The units are
+    staged once they are final, and so are the distinct translations before units join them.
     """
     units = units_of(documents)
     guarded = E.is_guarded(F.col("unit"), context.entities)
     prefix, rest = ordinals.split_prefix(F.col("unit"))
     units = units.withColumn("guarded", guarded).withColumn("prefix", F.when(guarded, "").otherwise(prefix)).withColumn("rest", F.when(guarded, F.col("unit")).otherwise(rest))
+    units = staged(units, "units")
     distinct = R.distinct_units(units.where("rest <> ''"), "rest").select("unit")
     done = staged(R.translate_units(distinct, backend, context, glossary, cache, rules), "translations")
     met = units.join(done.withColumnRenamed("unit", "rest"), "rest", "left")

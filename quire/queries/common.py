@@ -24,12 +24,20 @@ UNITS = LINES + rf""", units AS (
     AND unit NOT IN ('•', '●', '○', '◦', '▪', '§', '·', '-', '—', '–')
 )"""
 HASH = "CAST('0x' || substr(md5(unit), 1, 7) AS BIGINT)"
-#: Lines with the cases that generated prose lacks, at fixed places.
+#: Lines with the cases that generated prose lacks; they are added after the real lines at fixed places.
 CASES = [
     (0, "Grupo"), (1, "GRUPO AURORA, SRL."), (2, "Monto"), (3, "2.26 Cantidad"), (4, "a) Primero. El monto"), (5, "DÉCIMO CUARTO: dicho contrato"), (6, "12. Tasa"),
     (7, "Pagar RD$1,250.50 o US$400 a Banco Litoral y 37 más"), (8, "(iv) VIGESIMO TERCERO., del MICM"), (9, "TRIGESIMO."), (10, "Peñasco, Grupo Peñasco"),
 ]
-CASED = UNITS + ", cased AS (SELECT doc_id, line_no, page_no, CASE line_no % 23 " + " ".join(f"WHEN {n} THEN '{t}'" for n, t in CASES) + " ELSE unit END AS unit FROM units)"
+#: Numbers of added lines: that of the line they follow and this.
+ADDED = 1_000_000
+CASED = UNITS + f""", cased AS (
+  SELECT doc_id, line_no, page_no, unit FROM units
+  UNION ALL SELECT doc_id, CAST(line_no + {ADDED} AS INT), page_no, text FROM units JOIN (VALUES {", ".join(f"({n}, '{t}')" for n, t in CASES)}) AS c(n, text) ON line_no % 23 = n
+)"""
+#: Openings put before real lines at fixed places, for what depends on how a line begins.
+OPENINGS = [(4, "a) "), (6, "12. "), (8, "(iv) "), (9, "TRIGESIMO. "), (10, "• ")]
+OPENED = UNITS + ", opened AS (SELECT doc_id, line_no, page_no, CASE line_no % 23 " + " ".join(f"WHEN {n} THEN '{t}'" for n, t in OPENINGS) + " ELSE '' END || unit AS unit FROM units)"
 GLOSSARY_SQL = "glossary(term, translation, domain, priority) AS (VALUES " + ", ".join(f"('{a}', '{b}', '{c}', {d})" for a, b, c, d in GLOSSARY) + ")"
 TERMS_SQL = GLOSSARY_SQL + ", terms AS (SELECT term, max_by(translation, priority) AS translation, count(DISTINCT translation) > 1 AS collision FROM glossary GROUP BY term)"
 #: A third of the distinct units have a cache entry, of each status.
@@ -45,10 +53,18 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cased(spark: SparkSession, sf_dir: str) -> DataFrame:
-    place, unit = F.col("line_no") % 23, F.col("unit")
-    for n, text in CASES:
-        unit = F.when(place == n, text).otherwise(unit)
-    return units(spark, sf_dir).withColumn("unit", unit)
+    """All real units, and the cases as lines of their own."""
+    own = F.array(F.struct(F.col("line_no"), F.col("unit")))
+    added = F.filter(F.array(*(F.struct((F.col("line_no") + ADDED).alias("line_no"), F.when(F.col("line_no") % 23 == n, text).alias("unit")) for n, text in CASES)), lambda c: c["unit"].isNotNull())
+    return units(spark, sf_dir).select("doc_id", "page_no", F.explode(F.concat(own, added)).alias("c")).select("doc_id", "c.line_no", "page_no", "c.unit")
+
+
+def opened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All real units, some with an opening before them."""
+    opening = F.lit("")
+    for n, text in OPENINGS:
+        opening = F.when(F.col("line_no") % 23 == n, text).otherwise(opening)
+    return units(spark, sf_dir).withColumn("unit", F.concat(opening, "unit"))
 
 
 def glossary(spark: SparkSession) -> DataFrame:

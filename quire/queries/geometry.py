@@ -10,12 +10,12 @@ from quire.operators import layout as L
 from quire.operators import render as D
 from quire.operators import resolve as R
 from quire.queries import query, table
-from quire.queries.common import CASED, LINES, cased
+from quire.queries.common import CASED, LINES, OPENED, cased, opened
 
 PAGE = ["doc_id", "page_no"]
-GEOMETRY = CASED + """, g AS (
+GEOMETRY = OPENED + """, g AS (
   SELECT doc_id, page_no, line_no, unit AS text, 50.0::DOUBLE + CASE WHEN line_no % 5 = 1 THEN 15 ELSE 0 END AS x0, 14.0::DOUBLE * (line_no % 40) + CASE WHEN line_no % 7 = 0 THEN 10 ELSE 0 END AS y0,
-    11.0::DOUBLE + CASE WHEN line_no % 11 = 0 THEN 1 ELSE 0 END AS size, length(unit) AS n FROM cased
+    11.0::DOUBLE + CASE WHEN line_no % 11 = 0 THEN 1 ELSE 0 END AS size, length(unit) AS n FROM opened
 ), lined AS (SELECT *, x0 + 0.55::DOUBLE * size * n AS x1, y0 + 12 AS y1 FROM g)"""
 GROUPED = GEOMETRY + r""", stepped AS (
   SELECT *, y0 - lag(y1) OVER o AS gap, lag(size) OVER o AS before_size, lag(x0) OVER o AS before_x0, row_number() OVER o = 1 AS is_first, min(x0) OVER b AS margin, median(size) OVER b AS typical_size
@@ -35,7 +35,7 @@ marked AS (
 def lined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines with the derived geometry."""
     place = F.col("line_no")
-    rows = cased(spark, sf_dir).select(
+    rows = opened(spark, sf_dir).select(
         *PAGE, "line_no", F.col("unit").alias("text"), (50.0 + 15 * (place % 5 == 1).cast("int")).alias("x0"), (14.0 * (place % 40) + 10 * (place % 7 == 0).cast("int")).alias("y0"), (11.0 + (place % 11 == 0).cast("int")).alias("size")
     )
     return rows.withColumn("x1", F.col("x0") + 0.55 * F.col("size") * F.length("text")).withColumn("y1", F.col("y0") + 12)
