@@ -2,64 +2,111 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quire.functions.fonts import BUNDLED_SUBSTITUTE, PLACEHOLDERS, SYSTEM_SUBSTITUTE, font_class, parse_font_name
 
 # Least share of the original size, the step down, the stretch of justified spaces, and ink thresholds.
 LEAST_SCALE, SIZE_STEP, MOST_STRETCH = 0.72, 0.25, 2.6
 CHARACTER_WIDTH = 0.55
+#: Font faces that are broadcast; more are joined by shuffling.
+BROADCAST_FACES = 50_000
 DARK, LEAST_INK, LEAST_RUNS, BOLD_RATIO, FILL_PERCENTILE, MOST_NOISE = 165, 60, 20, 0.155, 0.82, 6.0
 
 
-def wrap(widths: Sequence[float], space: float, room: float, first_indent: float = 0.0) -> list[list[int]]:
-    """Word indices of each line, filled greedily; a word wider than the line has one of its own."""
-    lines: list[list[int]] = []
-    current: list[int] = []
-    used, left = 0.0, room - first_indent
-    for i, width in enumerate(widths):
-        step = width if not current else width + space
-        if current and used + step > left:
-            lines.append(current)
-            current, used, left = [i], width, room
-        else:
-            current.append(i)
-            used += step
-    return [*lines, current] if current else lines or [[]]
+def line_starts(ends: np.ndarray, room: float, first_room: float) -> list[int]:
+    """First word of each line of a text whose words end at ``ends`` characters, a blank after each; room is in characters too.
+
+    A line holds all words up to the last that ends within its room, and one word at least.
+    """
+    starts, at, room_now = [], 0, first_room
+    while at < len(ends):
+        starts.append(at)
+        begin = ends[at - 1] if at else 0
+        at = max(at + 1, int(np.searchsorted(ends, begin + room_now + 1 + 1e-9, "right")))
+        room_now = room
+    return starts
 
 
 def fit(text: str, size: float, room: float, height: float, leading: float, first_indent: float = 0.0, width: float = CHARACTER_WIDTH) -> tuple[float, float, int]:
-    """(size, leading, lines): the largest size, in steps down from the original, at which the wrapped text fits, or the least one."""
-    words = text.split()
-    if not words:
+    """(size, leading, lines): the largest of the allowed sizes at which the wrapped text is no higher than the room, or the least one.
+
+    All widths grow with the size, so a size is a room in characters. The sizes are a ladder from the original down to
+    its least share; height falls along it, so the place is found by halving.
+    """
+    ends = np.cumsum([len(word) + 1 for word in text.split()])
+    if not len(ends):
         return size, leading, 1
-    now, lead, least = size, leading, size * LEAST_SCALE
-    while True:
-        lines = len(wrap([width * now * len(w) for w in words], width * now, room, first_indent))
-        if (lines - 1) * lead + now <= height or now <= least:
-            return now, lead, lines
-        now = max(least, now - SIZE_STEP)
-        lead = leading * now / size
+    rungs = max(0, math.ceil(size * (1 - LEAST_SCALE) / SIZE_STEP - 1e-9))
 
+    def at_rung(i: int) -> tuple[float, float, int]:
+        now = max(size * LEAST_SCALE, size - SIZE_STEP * i)
+        lines = len(line_starts(ends, room / (now * width), (room - first_indent) / (now * width)))
+        return now, leading * now / size, lines
 
-def fit_paragraphs(paras: DataFrame) -> DataFrame:
-    """``paras`` (text, size, room, height, leading, first_indent) with fit_size, fit_leading, fit_lines, scaled, overflow."""
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in paras.schema), "fit_size double, fit_leading double, fit_lines int"])
+    def too_high(i: int) -> bool:
+        now, lead, lines = at_rung(i)
+        return (lines - 1) * lead + now > height
+
+    return at_rung(_first(rungs, too_high))
+
+
+def _first(rungs: int, too_high: Callable[[int], bool]) -> int:
+    """The first rung that is not too high, or the last one."""
+    low, high = 0, rungs
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (middle + 1, high) if too_high(middle) else (low, middle)
+    return low
 
-    def fitted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found = [fit(*row) for row in zip(frame.text.fillna(""), frame["size"], frame.room, frame.height, frame.leading, frame.first_indent, strict=True)]
-            yield frame.assign(fit_size=[f[0] for f in found], fit_leading=[f[1] for f in found], fit_lines=[f[2] for f in found])
 
-    done = paras.mapInPandas(fitted, schema)
+def natural_width(words: Sequence[str], size: float, width: float = CHARACTER_WIDTH) -> float:
+    """Width of a line of words with a blank between two."""
+    return width * size * (sum(map(len, words)) + max(0, len(words) - 1))
+
+
+def fit_paragraphs(paras: DataFrame) -> DataFrame:
+    """``paras`` (text, size, room, height, leading, first_indent) with fit_size, fit_leading, fit_lines, scaled, overflow."""
+    added = [T.StructField("fit_size", T.DoubleType()), T.StructField("fit_leading", T.DoubleType()), T.StructField("fit_lines", T.IntegerType())]
+    names = ["text", "size", "room", "height", "leading", "first_indent"]
+    places = [paras.columns.index(n) for n in names]
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [fit(text or "", *numbers) for text, *numbers in zip(*(batch.column(i).to_pylist() for i in places), strict=True)]
+            columns = [pa.array([f[i] for f in found], to_arrow_type(field.dataType)) for i, field in enumerate(added)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*paras_columns, *(f.name for f in added)])
+
+    paras_columns = paras.columns
+    done = paras.mapInArrow(fitted, T.StructType([*paras.schema.fields, *added]))
     bottom = (F.col("fit_lines") - 1) * F.col("fit_leading") + F.col("fit_size")
     return done.withColumn("scaled", F.col("fit_size") < F.col("size")).withColumn("overflow", bottom > F.col("height"))
 
 
+def line_facts(lines: DataFrame, room: str = "room") -> DataFrame:
+    """``lines`` (words array, size, align, is_last, room) with natural_width, x_offset and space_width: what drawing a line needs.
+
+    A justified line that is not the last stretches its blanks to the room, but not beyond the allowed share of a blank.
+    """
+    blank = F.col("size") * CHARACTER_WIDTH
+    gaps = F.greatest(F.lit(0), F.size("words") - 1)
+    letters = F.aggregate("words", F.lit(0), lambda n, w: n + F.length(w))
+    natural = blank * (letters + gaps)
+    free = F.col(room) - natural
+    stretched = F.least(blank + free / F.greatest(F.lit(1), gaps), blank * MOST_STRETCH)
+    justified = (F.col("align") == "justify") & ~F.col("is_last") & (gaps > 0) & (free > 0)
+    offset = F.when(F.col("align") == "center", F.greatest(F.lit(0.0), free / 2)).when(F.col("align") == "right", F.greatest(F.lit(0.0), free)).otherwise(0.0)
+    return lines.withColumn("natural_width", natural).withColumn("x_offset", offset).withColumn("space_width", F.when(justified, stretched).otherwise(blank))
+
+
 def resolve_fonts(fonts: DataFrame, index: DataFrame, bundled: DataFrame, default_family: str | None = None) -> DataFrame:
     """``fonts`` (font) with resolved, path, bold, italic, substituted.
 
@@ -80,7 +127,8 @@ def resolve_fonts(fonts: DataFrame, index: DataFrame, bundled: DataFrame, defaul
     faces = index.withColumn("is_bundled", F.lit(False)).unionByName(bundled.withColumn("is_bundled", F.lit(True))).select(
         F.col("family").alias("name"), F.col("bold").alias("f_bold"), F.col("italic").alias("f_italic"), "path", "is_bundled"
     )
-    met = wanted.join(F.broadcast(faces), "name").where(F.col("is_bundled") == (F.col("tier") == 200))
+    faces = F.broadcast(faces) if faces.limit(BROADCAST_FACES + 1).count() <= BROADCAST_FACES else faces
+    met = wanted.join(faces, "name").where(F.col("is_bundled") == (F.col("tier") == 200))
     b, i, fb, fi = (F.col(c) for c in ("bold", "italic", "f_bold", "f_italic"))
     style = F.when((fb == b) & (fi == i), 0).when((fb == b) & ~fi, 1).when(~fb & (fi == i), 2).when(~fb & ~fi, 3).otherwise(4)
     best = met.groupBy("font").agg(F.min(F.struct("tier", style.alias("style"), "path", "name")).alias("m"))

@@ -117,8 +117,50 @@ def test_flowing_paragraphs(spark):
     assert got == {0: ("Term: 144 months.", "justify", 2), 2: ("A full line, and more", "justify", 2), 4: ("a) item", "left", 1), 5: ("new", "left", 1)}
 
 
-def test_wrap_and_fit():
-    assert D.wrap([3, 3, 3], 1, 7) == [[0, 1], [2]] and D.wrap([3, 3, 3], 1, 7, 4) == [[0], [1, 2]] and D.wrap([20], 1, 7) == [[0]] and D.wrap([], 1, 7) == [[]]
+def slow_lines(words, room, first):
+    """Words one by one."""
+    lines, used = 0, None
+    for word in words:
+        left = first if lines <= 1 else room
+        if used is not None and used + 1 + len(word) <= left:
+            used += 1 + len(word)
+        else:
+            lines, used = lines + 1, len(word)
+    return lines
+
+
+def test_lines_equal_word_by_word_filling():
+    rng = random.Random(4)
+    for _ in range(500):
+        words = ["x" * rng.randint(1, 12) for _ in range(rng.randint(1, 30))]
+        room, first = rng.randint(1, 40), rng.randint(1, 40)
+        ends = np.cumsum([len(w) + 1 for w in words])
+        assert len(D.line_starts(ends, room, first)) == slow_lines(words, room, first)
+
+
+def test_fit_takes_the_largest_size_that_is_low_enough():
+    rng = random.Random(5)
+    for _ in range(200):
+        words = ["x" * rng.randint(1, 12) for _ in range(rng.randint(1, 60))]
+        size, room, height = rng.choice([8.0, 11.0, 12.5]), rng.uniform(40, 300), rng.uniform(8, 80)
+        now, least = size, size * 0.72
+        while True:
+            unit = 0.55 * now
+            lines = slow_lines(words, room / unit + 1e-9, room / unit + 1e-9)
+            if (lines - 1) * 13 * now / size + now <= height or now <= least:
+                break
+            now = max(least, now - 0.25)
+        assert D.fit(" ".join(words), size, room, height, 13.0) == pytest.approx((now, 13 * now / size, lines))
+
+
+def test_line_facts(spark):
+    rows = [(["aa", "b"], 10.0, "justify", False, 40.0), (["aa", "b"], 10.0, "justify", True, 40.0), (["aa"], 10.0, "right", False, 40.0), (["aa"], 10.0, "center", False, 40.0), (["aa", "b"], 10.0, "justify", False, 23.0)]
+    got = D.line_facts(spark.createDataFrame(rows, "words array<string>, size double, align string, is_last boolean, room double")).collect()
+    assert [pytest.approx((r.natural_width, r.x_offset, r.space_width)) for r in got] == [(22, 0, 14.3), (22, 0, 5.5), (11, 29, 5.5), (11, 14.5, 5.5), (22, 0, 6.5)]
+    assert D.natural_width(["aa", "b"], 10.0) == pytest.approx(22)
+
+
+def test_fit():
     assert D.fit("uno dos", 11.0, 500, 20, 13) == (11.0, 13, 1)
     size, leading, count = D.fit("palabra " * 30, 11.0, 200, 60, 13)
     assert D.LEAST_SCALE * 11 <= size < 11 and leading == pytest.approx(13 * size / 11)

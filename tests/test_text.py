@@ -91,7 +91,7 @@ def test_other_rules(value, tmp_path):
     (tmp_path / "r.toml").write_text('[[rule]]\npattern = "(a)b"\nreplacement = "\\\\1$"\n')
     own = rules.load_rules(["dates"], [tmp_path / "r.toml"])
     assert len(own) == 11 and value(lambda c: rules.apply_rules(c, own[-1:]), "xab") == "xa$"
-    with pytest.raises(ValueError, match="no rule set"):
+    with pytest.raises(ValueError, match="unknown rule sets"):
         rules.load_rules(["none"])
 
 
