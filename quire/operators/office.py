@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -29,9 +30,18 @@ def is_text_part(name: Column) -> Column:
     )
 
 
+def read_packages(spark: SparkSession, path: str) -> DataFrame:
+    """(doc, content) of package files."""
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("doc"), "content")
+
+
 def read_parts(spark: SparkSession, path: str) -> DataFrame:
     """(doc, part_no, part_name, bytes) of packages read as binary files; a file that is no package has no parts."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return parts_of(read_packages(spark, path))
+
+
+def parts_of(packages: DataFrame) -> DataFrame:
+    """The parts of ``packages`` (doc, content), as of ``read_parts``."""
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -45,7 +55,7 @@ def read_parts(spark: SparkSession, path: str) -> DataFrame:
                 kinds = [pa.string(), pa.int32(), pa.string(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc", "part_no", "part_name", "bytes"])
 
-    return files.mapInArrow(expand, "doc string, part_no int, part_name string, bytes binary")
+    return packages.select("doc", "content").mapInArrow(expand, "doc string, part_no int, part_name string, bytes binary")
 
 
 def wanted_tags(part_name: str) -> list[str]:
@@ -95,37 +105,142 @@ def sheet_names(parts: DataFrame) -> DataFrame:
     return books.select("doc", F.posexplode(names).alias("sheet_no", "name"))
 
 
-def rewrite_parts(parts: DataFrame, translations: Mapping[str, str]) -> DataFrame:
-    """``parts`` (doc, part_no, part_name, bytes) with the text nodes that ``translations`` changes replaced, and replaced, the number of them.
+def words_of(texts: DataFrame, translations: DataFrame) -> DataFrame:
+    """(doc, words): of each document of ``texts`` (doc, text) the map of those of its own texts that ``translations`` (source, en) changes.
 
-    A part without changes keeps its bytes. The mapping is one document set's own.
+    Texts meet their translations in a join, so no task holds more than its documents' own.
     """
+    useful = translations.where("en <> '' AND en <> source").groupBy(F.col("source").alias("text")).agg(F.max("en").alias("en"))
+    met = texts.select("doc", "text").distinct().join(useful, "text")
+    return met.groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("text", "en"))).alias("words"))
+
+
+def _register_prefixes() -> None:
     for prefix, uri in (("", SHEET_NS), ("a", DRAWING_NS), ("w", WORD_NS)):
         ElementTree.register_namespace(prefix, uri)
 
+
+def _rewritten(name: str, data: bytes, change: Callable[[ElementTree.Element], bool]) -> tuple[bytes, int]:
+    """A part's bytes with the elements that ``change`` changes, and their number; without any, or where it does not parse, as it was."""
+    try:
+        root = ElementTree.fromstring(data)
+    except ElementTree.ParseError:
+        return data, 0
+    changed = sum(change(element) for element in root.iter())
+    return (ElementTree.tostring(root, encoding="UTF-8", xml_declaration=True), changed) if changed else (data, 0)
+
+
+def _text_change(name: str, words: Mapping[str, str]) -> Callable[[ElementTree.Element], bool]:
+    tags = set(wanted_tags(name))
+
+    def change(element: ElementTree.Element) -> bool:
+        new = words.get(element.text) if element.tag in tags and element.text else None
+        if not new or new == element.text:
+            return False
+        element.text = new
+        return True
+
+    return change
+
+
+def rewrite_parts(parts: DataFrame, translations: DataFrame) -> DataFrame:
+    """``parts`` (doc, part_no, part_name, bytes) with the text nodes that ``translations`` (source, en) changes replaced, and replaced, the number of them.
+
+    A part without changes keeps its bytes.
+    """
+    words = words_of(text_nodes(parts), translations)
+
+    def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _register_prefixes()
+        for batch in batches:
+            made = []
+            for name, data, own in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+                made.append(_rewritten(name, data, _text_change(name, dict(own))) if own and name.lower().endswith(".xml") else (data, 0))
+            columns = [pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], ["doc", "part_no", "part_name", "bytes", "replaced"])
+
+    met = parts.select("doc", "part_no", "part_name", "bytes").join(words, "doc", "left")
+    return met.mapInArrow(rewrite, "doc string, part_no int, part_name string, bytes binary, replaced int")
+
+
+def tab_name(text: str) -> str:
+    """As ``functions.text.sheet_title``."""
+    return re.sub(r"[:\\/?*\[\]]", " ", text).strip(" ")[:31]
+
+
+def retargeted(formula: str, renames: Mapping[str, str]) -> str:
+    """As ``functions.text.retarget_references``."""
+    for old, new in renames.items():
+        formula = formula.replace(f"'{old}'!", f"'{new}'!")
+        if re.fullmatch("[A-Za-z_][A-Za-z0-9_.]*", old):
+            formula = re.sub(rf"(?<![A-Za-z0-9_'!]){re.escape(old)}!", lambda _: f"'{new}'!" if " " in new else f"{new}!", formula)
+    return formula
+
+
+def translate_packages(packages: DataFrame, translations: DataFrame, rename_sheets: bool = True) -> DataFrame:
+    """``packages`` (doc, content) rewritten: doc, content, replaced (text nodes) and renamed (sheets).
+
+    Text parts are rewritten by ``translations`` (source, en); every other entry goes over byte for byte, in its order,
+    with its compression and time. Sheets whose name is translated are renamed in the workbook and in formulas. A file
+    that is no package stays as it is.
+    """
+    parts = parts_of(packages)
+    texts = text_nodes(parts).select("doc", "text")
+    if rename_sheets:
+        texts = texts.unionByName(sheet_names(parts).select("doc", F.col("name").alias("text")))
+    met = packages.select("doc", "content").join(words_of(texts, translations), "doc", "left")
+    sheet, formula = f"{{{SHEET_NS}}}sheet", f"{{{SHEET_NS}}}f"
+
+    def translate(content: bytes, words: dict[str, str]) -> tuple[bytes, int, int]:
+        out, replaced, renamed = io.BytesIO(), 0, 0
+        try:
+            source = zipfile.ZipFile(io.BytesIO(content))
+        except zipfile.BadZipFile:
+            return content, 0, 0
+        with source, zipfile.ZipFile(out, "w") as target:
+            entries = {info.filename.lower(): info for info in source.infolist()}
+            renames: dict[str, str] = {}
+
+            def rename(element: ElementTree.Element) -> bool:
+                old = element.get("name") if element.tag == sheet else None
+                new = tab_name(words.get(old, "")) if old else ""
+                if not new or new == old or new in renames.values():
+                    return False
+                renames[old] = new
+                element.set("name", new)
+                return True
+
+            book = None
+            if rename_sheets and (info := entries.get("xl/workbook.xml")):
+                book, renamed = _rewritten(info.filename, source.read(info), rename)
+            for info in source.infolist():
+                name, data = info.filename, source.read(info)
+                if name.lower() == "xl/workbook.xml" and book is not None:
+                    data = book
+                elif name.lower().endswith(".xml") and wanted_tags(name):
+                    data, changed = _rewritten(name, data, _text_change(name, words))
+                    replaced += changed
+                    if renames and name.lower().startswith("xl/worksheets/"):
+
+                        def move(element: ElementTree.Element) -> bool:
+                            new = retargeted(element.text, renames) if element.tag == formula and element.text else element.text
+                            changes, element.text = new != element.text, new
+                            return changes
+
+                        data, _ = _rewritten(name, data, move)
+                target.writestr(info, data)
+        return out.getvalue(), replaced, renamed
+
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _register_prefixes()
         for batch in batches:
-            datas, counts = [], []
-            for name, data in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                changed = 0
-                tags = set(wanted_tags(name)) if name.lower().endswith(".xml") else set()
-                if tags:
-                    try:
-                        root = ElementTree.fromstring(data)
-                    except ElementTree.ParseError:
-                        root = None
-                    for e in root.iter() if root is not None else ():
-                        new = translations.get(e.text) if e.tag in tags and e.text else None
-                        if new and new != e.text:
-                            e.text = new
-                            changed += 1
-                    if changed:
-                        data = ElementTree.tostring(root, encoding="UTF-8", xml_declaration=True)
-                datas.append(data)
-                counts.append(changed)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(datas, pa.binary()), pa.array(counts, pa.int32())], ["doc", "part_no", "part_name", "bytes", "replaced"])
-
-    return parts.select("doc", "part_no", "part_name", "bytes").mapInArrow(rewrite, "doc string, part_no int, part_name string, bytes binary, replaced int")
+            for doc, content, own in zip(*(column for column in batch.columns), strict=True):
+                words = own.as_py()
+                made = translate(content.as_py(), dict(words)) if words else (content.as_py(), 0, 0)
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((doc.as_py(), *made), kinds, strict=True)], names)
+
+    kinds, names = [pa.string(), pa.binary(), pa.int32(), pa.int32()], ["doc", "content", "replaced", "renamed"]
+    return met.mapInArrow(rewrite, "doc string, content binary, replaced int, renamed int")
 
 
 def part_diff(a: DataFrame, b: DataFrame, keys: list[str], content: str = "bytes") -> DataFrame:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import io
+import zipfile
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import page_numbers
 from quire.operators import jobs as J
 from quire.operators import office as O
+from quire.plans.staging import staged
 from quire.plans.translate import lines_of
 from quire.queries import query, table
 from quire.queries.common import LINES
@@ -52,7 +57,39 @@ def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM (SELECT l.doc_id, line, (SELECT min(line) FROM lines) AS first_line FROM lines l) GROUP BY doc_id""")
 def office_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = lines_of(table(spark, sf_dir, "documents")).agg(F.min("line")).first()[0]
-    return O.rewrite_parts(_parts(spark, sf_dir), {first: "replaced"}).select("doc", "replaced")
+    translations = spark.createDataFrame([(first, "replaced")], "source string, en string")
+    return O.rewrite_parts(_parts(spark, sf_dir), translations).select("doc", "replaced")
+
+
+def _packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A package of each document: its word part between two entries that must survive as they are."""
+
+    def pack(batches):
+        for batch in batches:
+            for doc, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                out = io.BytesIO()
+                with zipfile.ZipFile(out, "w") as package:
+                    for name, data, kind in (("[Content_Types].xml", b"<Types/>", zipfile.ZIP_STORED), ("word/document.xml", body, zipfile.ZIP_DEFLATED), ("media/image.bin", body[::-1], zipfile.ZIP_DEFLATED)):
+                        info = zipfile.ZipInfo(name, (2001, 2, 3, 4, 5, 6))
+                        info.compress_type = kind
+                        package.writestr(info, data)
+                yield pa.RecordBatch.from_arrays([pa.array([doc]), pa.array([out.getvalue()], pa.binary())], ["doc", "content"])
+
+    return _parts(spark, sf_dir).select("doc", "bytes").mapInArrow(pack, "doc string, content binary")
+
+
+@query(f"""WITH {LINES}, first AS (SELECT DISTINCT min(line) AS line FROM lines GROUP BY doc_id), t AS (SELECT l.doc_id, line_no, CASE WHEN f.line IS NULL THEN l.line ELSE '» ' || l.line END AS text, f.line IS NOT NULL AS hit FROM lines l LEFT JOIN first f ON f.line = l.line AND f.line <> '')
+SELECT CAST(doc_id AS VARCHAR) AS doc, CAST(count(*) FILTER (hit) AS INT) AS replaced, md5(string_agg(text, '|' ORDER BY line_no) FILTER (text <> '')) AS body, true AS others_same FROM t GROUP BY doc_id""")
+def office_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole packages written with their texts translated, and read again."""
+    lines = lines_of(table(spark, sf_dir, "documents"))
+    translations = lines.groupBy("doc_id").agg(F.min("line").alias("source")).select("source", F.concat(F.lit("» "), "source").alias("en"))
+    before = staged(_packages(spark, sf_dir), "packages")
+    after = staged(O.translate_packages(before, translations), "packages")
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_no", "text"))), lambda n: n["text"]), "|")
+    bodies = O.text_nodes(O.parts_of(after)).groupBy("doc").agg(F.md5(texts.cast("binary")).alias("body"))
+    changes = O.part_diff(O.parts_of(before), O.parts_of(after), ["doc", "part_name"]).where("part_name <> 'word/document.xml'").select("doc").distinct().withColumn("others_same", F.lit(False))
+    return after.select("doc", "replaced").join(bodies, "doc", "left").join(changes, "doc", "left").withColumn("others_same", F.coalesce("others_same", F.lit(True)))
 
 
 @query(r"""SELECT page_id, name, (lower(name) LIKE '%.xml') AND (contains(lower(name), 'sharedstrings') OR (lower(name) LIKE 'xl/worksheets/%' AND NOT contains(lower(name), '_rels')) OR contains(lower(name), '/drawings/')
@@ -88,8 +125,12 @@ def incremental_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scan_last_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("doc_id") % 3 == 0, "scan").when(F.col("doc_id") % 3 == 1, "digital")
     ordered = J.scan_last(table(spark, sf_dir, "documents").select("doc_id", kind.alias("kind")), "doc_id")
-    placed = ordered.rdd.zipWithIndex().map(lambda x: (x[0].doc_id, x[0].kind, x[1]))
-    return spark.createDataFrame(placed, "doc_id long, kind string, place long")
+    # Places within ranges of the order, each begun where the ranges before it end; no task sees more than a range.
+    ranged = staged(ordered.withColumn("range", F.spark_partition_id()), "scan-last")
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    first = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    within = Window.partitionBy("range").orderBy(F.coalesce(F.col("kind") != "digital", F.lit(True)), "doc_id")
+    return ranged.join(F.broadcast(first), "range").select("doc_id", "kind", (F.col("first") + F.row_number().over(within) - 1).alias("place"))
 
 
 _UPLOADS = """SELECT page_id, CASE page_id % 9 WHEN 0 THEN 'a.pdf' WHEN 1 THEN '../a.pdf' WHEN 2 THEN 'a.exe' WHEN 3 THEN 'A.DOCX' WHEN 4 THEN 'b.xls' WHEN 5 THEN 'empty.pdf' WHEN 6 THEN 'big.pptx' WHEN 7 THEN 'long.pdf' ELSE '' END AS name,

@@ -1,3 +1,4 @@
+import io
 import zipfile
 
 import pytest
@@ -29,7 +30,7 @@ def test_packages(spark, packages):
     assert sorted((r.doc, r.node_no, r.text) for r in nodes.collect()) == [("a.xlsx", 0, "Hola mundo"), ("a.xlsx", 1, "Monto"), ("a.xlsx", 2, "12"), ("b.docx", 0, "Texto")]
     assert sorted(r.text for r in O.first_seen(nodes, ["doc"], ["part_no", "node_no"]).collect()) == ["Hola mundo", "Monto", "Texto"]
     assert [(r.sheet_no, r.name) for r in O.sheet_names(parts).orderBy("sheet_no").collect()] == [(0, "Hoja1"), (1, "Datos")]
-    new = O.rewrite_parts(parts, {"Hola mundo": "Hello world", "Monto": "Monto"})
+    new = O.rewrite_parts(parts, spark.createDataFrame([("Hola mundo", "Hello world"), ("Monto", "Monto")], "source string, en string"))
     assert {r.part_name: r.replaced for r in new.where("replaced > 0").collect()} == {"xl/sharedStrings.xml": 1}
     again = O.text_nodes(new)
     assert "Hello world" in {r.text for r in again.collect()}
@@ -39,6 +40,29 @@ def test_packages(spark, packages):
     assert {r.change for r in O.part_diff(kept, parts, ["doc", "part_name"]).collect()} == {"added"}
 
 
+def test_packages_are_written_whole(spark, tmp_path):
+    """Everything but the translated texts and names survives byte for byte, with its compression and time."""
+    sheet = f'<worksheet xmlns="{O.SHEET_NS}"><sheetData><row><c><f>SUM(Datos!A1,\'Hoja 1\'!B2)</f></c></row></sheetData></worksheet>'
+    parts = {
+        "[Content_Types].xml": "<Types/>", "xl/workbook.xml": f'<workbook xmlns="{O.SHEET_NS}"><sheets><sheet name="Hoja 1" sheetId="1"/><sheet name="Datos" sheetId="2"/></sheets></workbook>',
+        "xl/sharedStrings.xml": f'<sst xmlns="{O.SHEET_NS}"><si><t>Hola mundo</t></si></sst>', "xl/worksheets/sheet1.xml": sheet, "xl/drawings/drawing1.xml": "<d/>", "xl/persons/person.xml": "<p/>", "xl/webextensions/w.bin": "\x00x",
+    }
+    with zipfile.ZipFile(tmp_path / "a.xlsx", "w") as package:
+        for i, (name, data) in enumerate(parts.items()):
+            info = zipfile.ZipInfo(name, (2010, 1, 2, 3, 4, 2 * i))
+            info.compress_type = zipfile.ZIP_DEFLATED if i % 2 else zipfile.ZIP_STORED
+            package.writestr(info, data)
+    (tmp_path / "b.docx").write_bytes(b"no package")
+    words = spark.createDataFrame([("Hola mundo", "Hello world"), ("Datos", "Data: all"), ("Hoja 1", "Sheet 1"), ("none", None)], "source string, en string")
+    got = {r.doc.rsplit("/")[-1]: r for r in O.translate_packages(O.read_packages(spark, f"file://{tmp_path}"), words).collect()}
+    assert bytes(got["b.docx"].content) == b"no package" and (got["a.xlsx"].replaced, got["a.xlsx"].renamed) == (1, 2)
+    with zipfile.ZipFile(io.BytesIO(got["a.xlsx"].content)) as new, zipfile.ZipFile(tmp_path / "a.xlsx") as old:
+        facts = lambda z: [(i.filename, i.date_time, i.compress_type) for i in z.infolist()]
+        assert facts(new) == facts(old)
+        assert [n for n in parts if new.read(n) != old.read(n)] == ["xl/workbook.xml", "xl/sharedStrings.xml", "xl/worksheets/sheet1.xml"]
+        assert b'name="Data  all"' in new.read("xl/workbook.xml") and b"SUM('Data  all'!A1,'Sheet 1'!B2)" in new.read("xl/worksheets/sheet1.xml")
+
+
 @pytest.mark.parametrize(("chars", "fonts", "kind"), [(0, [], "scan"), (39, ["A"], "scan"), (40, ["A"], "digital"), (50, ["GlyphLessFont"], "ocr"), (50, ["GlyphLessFont", "A"], "digital"), (50, [], "digital")])
 def test_classification(spark, chars, fonts, kind):
     pages = spark.createDataFrame([(1, "x" * chars, fonts)], "doc_id long, text string, fonts array<string>")

@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
