@@ -210,6 +210,10 @@ def verify_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ANY_NAME = "|".join(re.sub(r"([.$(),|*+?^])", r"\\\1", s) for s in E.spellings(ROSTER))
 
 
+VERIFIED_SQL = rf"""len(list_filter(regexp_extract_all(unit, '(?i)({_ANY_NAME})'), lambda e: NOT contains(replace(lower(strip_accents({{en}})), 'ß', 'ss'), replace(lower(strip_accents(e)), 'ß', 'ss')))) = 0
+  AND list_sort(regexp_extract_all(unit, '{_NUMBERS}')) = list_sort(regexp_extract_all({{en}}, '{_NUMBERS}'))"""
+
+
 @query(rf"""WITH {CASED}, t AS (SELECT doc_id, line_no, unit, CASE WHEN line_no % 2 = 0 THEN lower(unit) ELSE replace(unit, 'Grupo', 'Group') END AS en FROM cased)
 SELECT doc_id, line_no, len(list_filter(regexp_extract_all(unit, '(?i)({_ANY_NAME})'), lambda e: NOT contains(replace(lower(strip_accents(en)), 'ß', 'ss'), replace(lower(strip_accents(e)), 'ß', 'ss')))) = 0
   AND list_sort(regexp_extract_all(unit, '{_NUMBERS}')) = list_sort(regexp_extract_all(en, '{_NUMBERS}')) AS verified FROM t""")
