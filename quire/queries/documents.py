@@ -38,7 +38,7 @@ def part_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.part_diff(a, b, ["pair", "line_no"], "line")
 
 
-@query()
+@query(f"""WITH {LINES} SELECT CAST(doc_id AS VARCHAR) AS doc, 0 AS part_no, 'word/document.xml' AS part_name, CAST(line_no AS INT) AS node_no, line AS text FROM lines WHERE line <> ''""")
 def office_text_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text nodes of a word part made from each document's lines."""
     return O.text_nodes(_parts(spark, sf_dir))

@@ -80,17 +80,49 @@ def _celled(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+CELLED = GEOMETRY + """, celled AS (
+  SELECT doc_id, page_no, line_no, text, size, c0 AS x0, r0 AS y0, c0 + least(x1 - c0, 250.0) AS x1, r0 + 12 AS y1
+  FROM (SELECT *, CASE WHEN line_no % 4 = 3 THEN 330.0::DOUBLE ELSE x0 END AS c0, CASE WHEN line_no % 4 = 3 THEN y0 - 14 ELSE y0 END AS r0 FROM lined)
+)"""
+
+
+def _first_fit(name: str, source: str, order: str, low: str, high: str, share: float) -> str:
+    """SQL of the greedy grouping of a page's extents, line by line: ``name`` (doc_id, page_no, line_no, grp)."""
+    return f"""{name}_placed AS (
+  SELECT doc_id, page_no, line_no, {low} AS lo, {high} AS hi, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY {order}, line_no) AS place FROM {source}
+), {name}_folded AS (
+  SELECT doc_id, page_no, 0::BIGINT AS place, CAST(NULL AS INT) AS line_no, CAST([] AS STRUCT(lo DOUBLE, hi DOUBLE)[]) AS groups, CAST(NULL AS INT) AS grp FROM {name}_placed GROUP BY doc_id, page_no
+  UNION ALL
+  SELECT doc_id, page_no, place, line_no, CASE WHEN spot IS NULL THEN list_append(groups, struct_pack(lo := lo, hi := hi))
+    ELSE list_transform(groups, lambda g, i: CASE WHEN i = spot THEN struct_pack(lo := least(g.lo, lo), hi := greatest(g.hi, hi)) ELSE g END) END, CAST(coalesce(spot, len(groups) + 1) - 1 AS INT)
+  FROM (SELECT p.*, f.groups, list_filter(range(1, len(f.groups) + 1), lambda i: least(p.hi, f.groups[i].hi) - greatest(p.lo, f.groups[i].lo)
+      > {share} * least(p.hi - p.lo, CASE WHEN f.groups[i].hi = f.groups[i].lo THEN 1.0 ELSE f.groups[i].hi - f.groups[i].lo END))[1] AS spot
+    FROM {name}_folded f JOIN {name}_placed p ON p.doc_id = f.doc_id AND p.page_no = f.page_no AND p.place = f.place + 1)
+), {name} AS (SELECT doc_id, page_no, line_no, grp FROM {name}_folded WHERE line_no IS NOT NULL)"""
+
+
+ROWS_SQL = CELLED + ", " + _first_fit("placed_rows", "celled", "y0", "y0", "y1", L.ROW_OVERLAP)
+
+
+@query(f"WITH RECURSIVE {ROWS_SQL} SELECT doc_id, page_no, line_no, grp AS row FROM placed_rows")
 def layout_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.visual_rows(_celled(spark, sf_dir), PAGE).select(*PAGE, "line_no", "row")
 
 
-@query()
+@query(rf"""WITH RECURSIVE {ROWS_SQL}, rowed AS (SELECT c.*, r.grp AS row FROM celled c JOIN placed_rows r USING (doc_id, page_no, line_no)),
+stepped AS (SELECT *, trim(lag(text) OVER o) AS before, x0 - lag(x1) OVER o AS gap, lag(size) OVER o AS before_size FROM rowed WINDOW o AS (PARTITION BY doc_id, page_no, row ORDER BY x0, line_no)),
+split AS (SELECT *, CASE WHEN coalesce(gap < greatest(9.0, 1.1 * greatest(before_size, 1.0)) OR ((before IN ('•', '●', '○', '◦', '▪', '§', '·', '-', '—', '–') OR regexp_matches(before, '^\s*(?:[a-zA-Z]\)|\(?[ivxIVX]{{1,5}}\)|\d{{1,2}}[.)]|[•●○◦▪§·])\s*$')) AND gap < 60), false) THEN 0 ELSE 1 END AS fresh FROM stepped),
+parts AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, page_no, row ORDER BY x0, line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS part FROM split)
+SELECT doc_id, page_no, row, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, max(size) AS size, CAST(min(line_no) AS INT) AS line_no, list(line_no ORDER BY line_no) AS line_nos, string_agg(text, ' ' ORDER BY x0, line_no) AS text,
+  CASE WHEN count(*) > 1 AND (trim(first(text ORDER BY x0, line_no)) IN ('•', '●', '○', '◦', '▪', '§', '·', '-', '—', '–') OR regexp_matches(trim(first(text ORDER BY x0, line_no)), '^\s*(?:[a-zA-Z]\)|\(?[ivxIVX]{{1,5}}\)|\d{{1,2}}[.)]|[•●○◦▪§·])\s*$'))
+    THEN list(x0 ORDER BY x0, line_no)[2] END AS hang_x0
+FROM parts GROUP BY doc_id, page_no, row, part""".replace("\\\\", "\\"))
 def layout_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.merge_fragments(L.visual_rows(_celled(spark, sf_dir), PAGE), PAGE)
 
 
-@query()
+@query(f"""WITH RECURSIVE {ROWS_SQL}, {_first_fit("placed_bands", "celled", "x0", "x0", "x1", L.BAND_OVERLAP)}, alone AS (SELECT doc_id, page_no, count(DISTINCT grp) = count(*) AS alone FROM placed_rows GROUP BY doc_id, page_no)
+SELECT doc_id, page_no, line_no, CASE WHEN alone THEN 0 ELSE grp END AS band FROM placed_bands JOIN alone USING (doc_id, page_no)""")
 def layout_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.column_bands(L.visual_rows(_celled(spark, sf_dir), PAGE), PAGE).select(*PAGE, "line_no", "band")
 
@@ -109,7 +141,21 @@ def layout_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.extract_paragraphs(spans, PAGE).select(*PAGE, "para", "text", "lines", "x0", "y0", "x1", "y1", "indent", "size")
 
 
-@query()
+@query(rf"""WITH RECURSIVE {GEOMETRY}, flowing AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY y0, x0, line_no) AS place, max(x1) OVER (PARTITION BY doc_id, page_no) AS edge, line_no % 13 = 0 AS item,
+    regexp_matches(text, '^\s*(?:[a-zA-Z]\)|\(?[ivxIVX]{{1,4}}\)|\d{{1,2}}[.)]|[•●○◦▪§·]|[-–—]\s)\s*') AS marker, regexp_matches(text, '^[\p{{Ll}}\p{{Nd}}]') AS small FROM lined
+), folded AS (
+  SELECT doc_id, page_no, place, line_no AS para, text, x0, y0, x1, y1, size, CAST(NULL AS DOUBLE) AS lead_, 'left' AS align, 1 AS merged FROM flowing WHERE place = 1
+  UNION ALL
+  SELECT doc_id, page_no, place, CASE WHEN j THEN para ELSE line_no END, CASE WHEN j THEN f_text || ' ' || text ELSE text END, CASE WHEN j THEN least(f_x0, x0) ELSE x0 END, CASE WHEN j THEN least(f_y0, y0) ELSE y0 END,
+    CASE WHEN j THEN greatest(f_x1, x1) ELSE x1 END, CASE WHEN j THEN greatest(f_y1, y1) ELSE y1 END, CASE WHEN j THEN f_size ELSE size END,
+    CASE WHEN NOT j THEN NULL WHEN lead_ IS NULL OR merged = 1 THEN greatest(y0 - f_y1 + f_size, 1.15 * f_size) ELSE lead_ END, CASE WHEN j THEN 'justify' ELSE 'left' END, CASE WHEN j THEN merged + 1 ELSE 1 END
+  FROM (SELECT p.*, f.para, f.text AS f_text, f.x0 AS f_x0, f.y0 AS f_y0, f.x1 AS f_x1, f.y1 AS f_y1, f.size AS f_size, f.lead_, f.merged,
+      NOT p.marker AND NOT p.item AND abs(p.x0 - f.x0) < 12 AND abs(p.size - f.size) <= 0.6 AND p.y0 - f.y1 >= -1 AND p.y0 - f.y1 <= 0.85 * coalesce(f.lead_, f.size * 1.18)
+        AND (f.x1 >= p.edge - greatest(14.0, 1.6 * f.size) OR (NOT regexp_matches(f.text, '[.:;!?"”]\s*$') AND p.small)) AS j
+    FROM folded f JOIN flowing p ON p.doc_id = f.doc_id AND p.page_no = f.page_no AND p.place = f.place + 1)
+)
+SELECT doc_id, page_no, para, text, align, merged FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no, para ORDER BY place DESC) AS r FROM folded) WHERE r = 1""")
 def layout_flow_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     paras = lined(spark, sf_dir).select(
         *PAGE, F.col("line_no").alias("para"), "text", "x0", "y0", "x1", "y1", "size", F.lit(None).cast("double").alias("leading"), F.lit("left").alias("align"),
@@ -124,7 +170,16 @@ def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.select("conv_id", "turn", F.floor(n / 10).cast("int").alias("line_no"), "span_no", "text", F.lit("Helvetica").alias("font"), (n % 7 == 0).alias("bold"), F.lit(False).alias("italic"), F.lit(0).alias("color"), (11.0 + 0.3 * (n % 4)).alias("size"))
 
 
-@query()
+@query(r"""WITH RECURSIVE words AS (SELECT conv_id, turn, string_split(text, ' ') AS w FROM conversations), spans AS (
+  SELECT conv_id, turn, CAST(i AS INT) AS span_no, CAST(i // 10 AS INT) AS line, w[i + 1] AS text, i % 7 = 0 AS bold, 11.0::DOUBLE + 0.3::DOUBLE * (i % 4) AS size FROM words t, unnest(range(len(t.w))) AS u(i) WHERE w[i + 1] <> ''
+), placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY span_no) AS place FROM spans), folded AS (
+  SELECT conv_id, turn, place, 0 AS run, bold, size AS opened, text, line, line AS last_line, '' AS tail FROM placed WHERE place = 1
+  UNION ALL
+  SELECT p.conv_id, p.turn, p.place, CASE WHEN p.bold = f.bold AND abs(f.opened - p.size) <= 0.75 THEN f.run ELSE f.run + 1 END, p.bold, CASE WHEN p.bold = f.bold AND abs(f.opened - p.size) <= 0.75 THEN f.opened ELSE p.size END, p.text, p.line, f.line, ''
+  FROM folded f JOIN placed p ON p.conv_id = f.conv_id AND p.turn = f.turn AND p.place = f.place + 1
+), turned AS (SELECT *, lead(line) OVER (PARTITION BY conv_id, turn ORDER BY place) AS next_line FROM folded),
+joined AS (SELECT conv_id, turn, run, any_value(bold) AS bold, any_value(opened) AS size, string_agg(text || CASE WHEN next_line > line THEN ' ' ELSE '' END, '' ORDER BY place) AS text FROM turned GROUP BY conv_id, turn, run)
+SELECT conv_id, turn, run, regexp_replace(text, '\s+', ' ', 'g') AS text, 'Helvetica' AS font, bold, false AS italic, 0 AS color, round_even(size, 1) AS size FROM joined""")
 def layout_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.build_runs(_spans(spark, sf_dir), ["conv_id", "turn"])
 
@@ -188,7 +243,18 @@ def paragraph_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.translate_paragraphs(R.label_splits(_segments(spark, sf_dir), ["conv_id"]), ["conv_id"], answer)
 
 
-@query()
+@query(f"""WITH RECURSIVE {CASED}, t AS (SELECT doc_id, line_no, 14.0::DOUBLE * (1 + length(unit) / 60) AS height, list_filter(string_split(unit, ' '), lambda w: w <> '') AS w FROM cased),
+e AS (SELECT doc_id, line_no, height, list_transform(range(1, len(w) + 1), lambda i: len(array_to_string(w[1:i], ' ')) + 1) AS ends FROM t),
+rungs AS (SELECT doc_id, line_no, height, ends, rung, greatest(11.0::DOUBLE * 0.72, 11.0::DOUBLE - 0.25 * rung) AS size FROM e, (SELECT unnest(range(0, 14)) AS rung)),
+roomy AS (SELECT *, 220.0::DOUBLE / (size * 0.55::DOUBLE) + 1 + 1e-9 AS room FROM rungs),
+wrapped AS (
+  SELECT doc_id, line_no, height, ends, rung, size, room, 0::BIGINT AS spot, 0 AS lines FROM roomy
+  UNION ALL
+  SELECT doc_id, line_no, height, ends, rung, size, room, greatest(spot + 1, spot + len(list_filter(ends[spot + 1 : spot + 60], lambda x: x <= coalesce(ends[spot], 0) + room))), lines + 1 FROM wrapped WHERE spot < len(ends)
+), counted AS (SELECT doc_id, line_no, height, rung, size, CAST(max(lines) AS INT) AS lines FROM wrapped GROUP BY ALL),
+fitted AS (SELECT *, 13.0::DOUBLE * size / 11 AS ld, (lines - 1) * (13.0::DOUBLE * size / 11) + size AS bottom FROM counted),
+best AS (SELECT doc_id, line_no, min(CASE WHEN bottom <= height OR rung = 13 THEN rung END) AS rung FROM fitted GROUP BY doc_id, line_no)
+SELECT doc_id, line_no, size AS fit_size, ld AS fit_leading, lines AS fit_lines, size < 11 AS scaled, bottom > height AS overflow FROM fitted JOIN best USING (doc_id, line_no, rung)""")
 def fit_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = cased(spark, sf_dir).select(
         "doc_id", "line_no", F.col("unit").alias("text"), F.lit(11.0).alias("size"), F.lit(220.0).alias("room"), (14.0 * (1 + F.length("unit") / 60)).alias("height"), F.lit(13.0).alias("leading"), F.lit(0.0).alias("first_indent")

@@ -179,7 +179,7 @@ def post_rules_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dated(spark, sf_dir).select("o_orderkey", rules.apply_rules(F.col("note"), without_lookahead).alias("note"))
 
 
-@query()
+@query("SELECT o_orderkey, 'since ' || monthname(o_orderdate) || ' ' || day(o_orderdate) || ' it is due' AS note FROM orders")
 def post_rules_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.dayofmonth("o_orderdate").cast("string")
     notes = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("since "), day, F.lit(" of "), F.date_format("o_orderdate", "MMMM"), F.lit(" it is due")).alias("note"))

@@ -15,7 +15,7 @@ from quire.plans.staging import staged
 from quire.plans.translate import text_hash, translate_documents
 from quire.queries import query, table
 from quire.queries.common import CACHE_SQL, CASED, HASH, LETTERS, ROSTER, TERMS_SQL, cache, cased, glossary
-from quire.queries.text import CLASSIFY_SQL, GUARDED_SQL, TOKENS_SQL, VERIFIED_SQL
+from quire.queries.text import CLASSIFY_SQL, GUARDED_SQL, MARKER_SQL, ORDINAL_SQL, TOKENS_SQL, VERIFIED_SQL
 
 CONTEXT = B.Context(entities=tuple(ROSTER))
 _HEADED = r"^(\d{1,2}(?:\.\d{1,2})?\.?)\s+(.*)$"
@@ -209,7 +209,16 @@ def verify_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.call_verified(distinct, SloppyBackend(), CONTEXT).withColumnRenamed("call_status", "status")
 
 
-@query()
+@query(rf"""WITH {CASED}, {TERMS_SQL}{CACHE_SQL}, m AS (SELECT *, {GUARDED_SQL} AS guarded, regexp_extract(unit, '{MARKER_SQL}', 1) AS marker, regexp_replace(unit, '{MARKER_SQL}', '') AS body FROM units),
+o AS (SELECT *, regexp_extract(upper(strip_accents(body)), '^({ORDINAL_SQL})(?:[.,: )]|$)', 1) AS spanish FROM m), s AS (SELECT *, regexp_extract(substr(body, length(spanish) + 1), '^([.,:]*)', 1) AS signs FROM o),
+final AS (SELECT doc_id, page_no, guarded, CASE WHEN guarded THEN unit WHEN spanish <> '' THEN ltrim(substr(body, length(spanish) + length(signs) + 1)) ELSE body END AS rest FROM s),
+d AS (SELECT DISTINCT rest AS unit FROM final WHERE rest <> ''), looked AS (
+  SELECT unit, {GUARDED_SQL} AS guarded, coalesce(a.translation, regexp_extract(unit, '{_HEADED}', 1) || ' ' || b.translation) AS hit, c.en AS cached FROM d LEFT JOIN terms a ON a.term = unit
+  LEFT JOIN terms b ON regexp_matches(unit, '{_HEADED}') AND b.term = trim(regexp_extract(unit, '{_HEADED}', 2)) LEFT JOIN cache c ON c.source = unit AND c.status = 'ok'
+), told AS (SELECT unit, guarded, hit IS NOT NULL OR cached IS NOT NULL AS known, regexp_replace({UPPER_SQL}, ',\s*,+', ',', 'g') AS en FROM looked),
+done AS (SELECT unit AS rest, guarded AS kept, CASE WHEN guarded OR known THEN 'ok' ELSE {CLASSIFY_SQL} END AS status FROM told)
+SELECT doc_id, count(DISTINCT page_no) AS pages, count(*) AS paragraphs, count(*) FILTER (coalesce(status, 'ok') = 'ok' AND NOT guarded AND NOT coalesce(kept, false)) AS translated, count(*) FILTER (guarded OR coalesce(kept, false)) AS skipped,
+  count(*) FILTER (coalesce(status, 'ok') <> 'ok') AS failed FROM final LEFT JOIN done USING (rest) GROUP BY doc_id""")
 def translate_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole plan: per document, what became of its lines."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
