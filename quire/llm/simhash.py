@@ -190,8 +190,8 @@ def near_links(distinct: DataFrame, radius: int = 2, blocks: int = 8) -> DataFra
 
 #: Minhash bands of a text and rows of each: two texts of similarity 0.8 share one of 14 bands of 4 with probability 0.9994.
 BANDS, ROWS = 14, 4
-#: Members, and bytes of texts, of a shard that one task searches, about; a larger shard is cut into pairs of parts.
-SHARD_MEMBERS, SHARD_BYTES = 4096, 32 << 20
+#: Members, and bytes of texts, of a shard that one task searches or verifies, about; a larger shard is cut into pairs of parts.
+SHARD_MEMBERS, VERIFIED_MEMBERS, SHARD_BYTES = 4096, 1024, 32 << 20
 
 
 @dataclass(frozen=True)
@@ -244,7 +244,8 @@ def _sharded(met: DataFrame, group: list[str], carried: list[str]) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
     dealt = met.withColumn("own", own).withColumn("other", other).select(*group, F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.struct(*carried).alias("m"))
     shard = [*group, "low", "high"]
-    return dealt.repartition(*shard).groupBy(*shard).agg(F.collect_list("m").alias("members")).where(F.size("members") > 1)
+    # Few bytes, much work: a fixed number of partitions, which adaptive execution does not join to few.
+    return dealt.repartition(int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")), *shard).groupBy(*shard).agg(F.collect_list("m").alias("members")).where(F.size("members") > 1)
 
 
 def exact_forest(sets: list[np.ndarray], keys: np.ndarray, least: float) -> np.ndarray:
@@ -316,7 +317,7 @@ def similar_links(docs: DataFrame, distinct: DataFrame, how: Similarity) -> Data
     found = connected_components(candidate_links(distinct, how))
     met = staged(found.join(distinct.select("node", "first", "keys", "bytes", "repeated"), "node"), "near-candidates")
     sizes = met.groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.sum("bytes").alias("bytes"))
-    parts = F.ceil(F.greatest(F.col("members") / SHARD_MEMBERS, F.col("bytes") / SHARD_BYTES)).cast("long")
+    parts = F.ceil(F.greatest(F.col("members") / VERIFIED_MEMBERS, F.col("bytes") / SHARD_BYTES)).cast("long")
     dealt = met.drop("bytes").join(sizes.select("component", F.greatest(F.lit(1), parts).alias("parts")), "component")
     wanted = dealt.select("node", "component", "parts", "keys", F.col("first.doc_id").alias("__id__"), F.col("first.digest").alias("__digest__"))
     count, repeated = met.agg(F.count(F.lit(1)), F.max("repeated")).first()

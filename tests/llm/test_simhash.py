@@ -180,9 +180,34 @@ def test_large_shards_are_cut_without_losing_links(documents, monkeypatch):
     docs = documents(rows)
     whole = sorted(map(tuple, simhash.similar_groups(docs).select("doc_id", "component_id").collect()))
     monkeypatch.setattr(simhash, "SHARD_MEMBERS", 2)
+    monkeypatch.setattr(simhash, "VERIFIED_MEMBERS", 2)
     assert sorted(map(tuple, simhash.similar_groups(docs).select("doc_id", "component_id").collect())) == whole
 
 
+def test_pairs_of_parts_are_dealt_by_an_exchange_of_their_own(documents):
+    distinct = simhash._nodes(simhash._documents(documents(near_copies()[0]), simhash.Similarity()))
+    plan = simhash.candidate_links(distinct, simhash.Similarity())._jdf.queryExecution().executedPlan().toString()
+    exchange = next(line for line in plan.splitlines() if "low" in line and "Exchange hashpartitioning(band" in line)
+    assert "REPARTITION_BY_NUM" in exchange
+    assert plan.index(exchange) < plan.index("Generate explode")
+
+
+def test_texts_that_share_a_repeated_word_stay(documents):
+    rng = random.Random(12)
+    rows = [(i, "word " * 900 + " ".join("".join(rng.choices("abcdefghij", k=7)) for _ in range(300))) for i in range(8)]
+    assert simhash.one_of_each_group(documents(rows)).count() == 8
+
+
+def test_an_input_column_like_a_working_one_is_carried(documents):
+    from pyspark.sql import functions as F
+
+    docs = documents([(1, "a b c"), (2, "a b c"), (3, "x y z")])
+    for name in ("__id__", "__digest__", "digest", "may", "node", "rows"):
+        docs = docs.withColumn(name, F.lit(name))
+    got = simhash.one_of_each_group(docs)
+    assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == [1, 3]
+
+
 def test_forest_of_a_dense_shard_equals_all_links():
     rng = random.Random(3)
     for spread in (3, 9):
