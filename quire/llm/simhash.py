@@ -166,7 +166,8 @@ def near_links(distinct: DataFrame, radius: int = 2, blocks: int = 8) -> DataFra
     masks = [mask - (1 << 64) if mask >> 63 else mask for mask in shard_keys(blocks, radius)]
     keys = F.explode(F.array(*(F.struct(F.lit(i).alias("choice"), F.col("fingerprint").bitwiseAND(F.lit(mask)).alias("key")) for i, mask in enumerate(masks))))
     # Small rows that become many: dealt over all partitions first, which adaptive execution would join to few.
-    spread = distinct.select("fingerprint").repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fingerprint")
+    # In turn and not by fingerprint, by which they lie already.
+    spread = distinct.select("fingerprint").repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     shards = spread.select("fingerprint", keys.alias("k")).groupBy("k").agg(F.collect_list("fingerprint").alias("members")).where(F.size("members") > 1)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
