@@ -130,7 +130,7 @@ def retarget_references(formula: Column, renames: list[tuple[str, str]]) -> Colu
 
 def page_numbers(spec: Column) -> Column:
     """``1-5,11`` as sorted distinct 0-based numbers; blanks between commas are ignored."""
-    parts = F.filter(F.transform(F.split(spec, ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(spec, ","), lambda p: F.trim(p)), lambda p: p != "")
 
     def run(part: Column) -> Column:
         first, last = (F.trim(F.regexp_extract(part, "^(\\d+)\\s*(?:-\\s*(\\d+))?$", i)).try_cast("int") for i in (1, 2))

@@ -49,6 +49,7 @@ def test_translatable(value, text, want):
 
 def test_pages(value):
     assert value(X.page_numbers, "1-3, ,5,2") == [0, 1, 2, 4] and value(X.page_numbers, "") == [] and value(X.page_numbers, "4-2") == []
+    assert value(X.page_numbers, "10, 20 - 21,2") == [1, 9, 19, 20]
 
 
 def test_sheet_references(value):
