@@ -9,10 +9,12 @@ import argparse
 import sys
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.rules import load_rules
+from quire.operators import batch as A
 from quire.operators import cache as C
 from quire.operators import entities as E
 from quire.operators import glossary as G
@@ -67,6 +69,39 @@ def translate(spark: SparkSession, args: argparse.Namespace) -> int:
     return int(not written.where("status <> 'ok'").isEmpty())
 
 
+def batch(spark: SparkSession, args: argparse.Namespace) -> int:
+    """Translates the documents (src, kind, mtime, doc_id, text) that an earlier run into OUTPUT has not, and adds this run's report.
+
+    Each run has folders of its own number, so a run that is repeated after a failure starts anew.
+    """
+    context, glossary, rules = _settings(spark, args.config)
+    backend = make_backend(args.backend)
+    reports = _read(spark, f"{args.output}/report", "kind string, src string, status string, error string, mtime long, run int")
+    number = (reports.agg(F.max("run")).first()[0] or 0) + 1
+    planned = A.plan(spark.read.parquet(args.documents), reports.where("status <> 'ERROR'").select("src", "mtime"), args.only, args.force)
+    due = planned.where("due")
+    units, _ = translate_documents(due.where("kind <> 'copy'").select("doc_id", "text"), backend, context, glossary, spark.createDataFrame([], NO_CACHE), rules)
+    units.write.mode("overwrite").parquet(f"{args.output}/units/run={number}")
+    due.where("kind = 'copy'").write.mode("overwrite").parquet(f"{args.output}/copies/run={number}")
+    results = due.select("src", F.lit(None).cast("string").alias("error"), F.lit(None).cast("array<string>").alias("lost_parts"))
+    report = A.corpus_report(planned, results).join(planned.select("src", F.col("mtime").cast("long")).distinct(), "src")
+    report.select("kind", "src", "status", "error", "mtime").write.mode("overwrite").parquet(f"{args.output}/report/run={number}")
+    written = spark.read.parquet(f"{args.output}/report/run={number}")
+    written.groupBy("kind", "status").count().orderBy("kind", "status").show()
+    failed = not spark.read.parquet(f"{args.output}/units/run={number}").where("status <> 'ok'").isEmpty()
+    return int(failed or not A.errors(written).isEmpty())
+
+
+def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The Parquet table at a path, an empty one if there is none yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def cache(spark: SparkSession, args: argparse.Namespace) -> int:
     """Shows or rewrites a cache."""
     table = _cache(spark, args.cache)
@@ -112,6 +147,14 @@ def parser() -> argparse.ArgumentParser:
     one.add_argument("--config")
     one.add_argument("--dry-run", action="store_true")
     one.set_defaults(run=translate)
+    one = commands.add_parser("batch", help=batch.__doc__)
+    for name in ("documents", "output"):
+        one.add_argument(name)
+    one.add_argument("--backend", default="upper")
+    one.add_argument("--config")
+    one.add_argument("--only")
+    one.add_argument("--force", action="store_true")
+    one.set_defaults(run=batch)
     one = commands.add_parser("cache", help=cache.__doc__)
     one.add_argument("action", choices=["stats", "pending", "compact", "purge"])
     one.add_argument("cache")

@@ -19,6 +19,8 @@ LEAST_SCALE, SIZE_STEP, MOST_STRETCH = 0.72, 0.25, 2.6
 CHARACTER_WIDTH = 0.55
 #: Font faces that are broadcast; more are joined by shuffling.
 BROADCAST_FACES = 50_000
+# What marks reach above and below a text, in shares of its size, and the slack at its sides in points.
+HIGHLIGHT_RISE, HIGHLIGHT_DROP, UNDERLINE_OFFSET, UNDERLINE_THICKNESS, CLEAR_EPSILON = 0.80, 0.22, 0.12, 0.07, 0.75
 DARK, LEAST_INK, LEAST_RUNS, BOLD_RATIO, FILL_PERCENTILE, MOST_NOISE = 165, 60, 20, 0.155, 0.82, 6.0
 
 
@@ -146,6 +148,25 @@ def apply_edits(paras: DataFrame, edits: DataFrame, keys: Sequence[str]) -> Data
     return met.withColumn("action", action).withColumn("final_text", F.when(F.col("action") == "modified", F.col("new_text")).when(F.col("action") == "kept", F.col("text"))).drop("new_text", "deleted")
 
 
+def clear_rects(paras: DataFrame) -> DataFrame:
+    """``paras`` (x0, y0, x1, y1, size) with clear_x0 to clear_y1: the box to clear before a paragraph is drawn anew, its marks included."""
+    below = max(HIGHLIGHT_DROP, UNDERLINE_OFFSET + UNDERLINE_THICKNESS)
+    return (
+        paras.withColumn("clear_x0", F.col("x0") - CLEAR_EPSILON).withColumn("clear_x1", F.col("x1") + CLEAR_EPSILON)
+        .withColumn("clear_y0", F.col("y0") - F.col("size") * HIGHLIGHT_RISE).withColumn("clear_y1", F.col("y1") + F.col("size") * below)
+    )
+
+
+def kept_runs(runs: Column) -> Column:
+    """The runs of a paragraph that hold more than white space."""
+    return F.filter(runs, lambda r: r["text"].rlike("\\S"))
+
+
+def edited_rect(edit: Column, own: Column) -> Column:
+    """The box of an edit, whose absent sides are those of the paragraph's own box."""
+    return F.struct(*(F.coalesce(edit[side], own[side]).alias(side) for side in ("x0", "y0", "x1", "y1")))
+
+
 def stem_ratios(pixels: DataFrame, keys: Sequence[str], size: Column, scale: float, dark: float = DARK) -> DataFrame:
     """Per box of pixels (keys, row, col, value): ink, runs and stem_ratio, the median length of dark horizontal runs by the type's size in pixels.
 

@@ -29,4 +29,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from quire.queries import documents, geometry, text, translation  # noqa: F401
+    from quire.queries import documents, geometry, runs, text, translation  # noqa: F401

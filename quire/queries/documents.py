@@ -173,16 +173,20 @@ def job_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.recovered(J.cancelled(jobs, 5, visitor)).select("job_id", "status")
 
 
-@query(f"""WITH {LINES} SELECT CAST(doc_id AS VARCHAR) AS source, page_no, CAST(row_number() OVER (PARTITION BY doc_id, page_no ORDER BY line_no) - 1 AS INT) AS para_no, line AS text, 'left' AS align, line_no % 2 = 0 AS starts_item FROM lines""")
-def document_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+def paragraph_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as paragraphs of documents, with fields left absent."""
     rect = F.struct(F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(1.0).alias("x1"), F.lit(1.0).alias("y1"))
     none = F.lit(None).cast("double")
-    rows = lines_of(table(spark, sf_dir, "documents")).select(
+    return lines_of(table(spark, sf_dir, "documents")).select(
         F.col("doc_id").cast("string").alias("source"), "page_no", F.lit(612.0).alias("width"), F.lit(792.0).alias("height"), F.col("line_no").alias("para_no"), F.col("line").alias("text"), F.array().cast(f"array<{S.RUN}>").alias("runs"),
         rect.alias("rect"), F.lit(0.0).alias("origin_x"), F.lit(0.0).alias("origin_y"), F.lit(None).cast("string").alias("align"), none.alias("leading"), F.lit(11.0).alias("size"), F.lit("Arial").alias("font"),
         F.lit(None).cast("array<double>").alias("color"), none.alias("indent"), none.alias("hang_x0"), F.when(F.col("line_no") % 2 == 0, True).alias("starts_item"), F.lit(None).cast(S.RECT).alias("clip"),
     )
-    return S.paragraphs(S.to_documents(rows)).select("source", "page_no", "para_no", "text", "align", "starts_item")
+
+
+@query(f"""WITH {LINES} SELECT CAST(doc_id AS VARCHAR) AS source, page_no, CAST(row_number() OVER (PARTITION BY doc_id, page_no ORDER BY line_no) - 1 AS INT) AS para_no, line AS text, 'left' AS align, line_no % 2 = 0 AS starts_item FROM lines""")
+def document_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.paragraphs(S.to_documents(paragraph_rows(spark, sf_dir))).select("source", "page_no", "para_no", "text", "align", "starts_item")
 
 
 @query("SELECT rel FROM (SELECT 'docs/' || (page_id % 7) || '/img/' || page_id AS rel, page_id FROM pages) WHERE page_id % 7 = 3 OR rel = 'docs/1/img/8'")

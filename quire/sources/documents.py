@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.functions.text import page_numbers
+
+# Fixed value: dots per inch of a page's picture.
+PREVIEW_DOTS = 110
 RECT = "struct<x0:double,y0:double,x1:double,y1:double>"
 RUN = "struct<text:string,font:string,size:double,bold:boolean,italic:boolean,color:array<double>,underline:boolean,highlight:array<double>>"
 PARAGRAPH = (
@@ -39,16 +43,34 @@ def paragraphs(documents: DataFrame) -> DataFrame:
     )
 
 
-def to_documents(rows: DataFrame) -> DataFrame:
-    """(source, value): the document JSON of paragraph rows; a document is one row, as it is one file."""
+def _pages(rows: DataFrame) -> DataFrame:
+    """(source, page): the pages of paragraph rows."""
     fields = ["text", "runs", "rect", "origin_x", "origin_y", "align", "leading", "size", "font", "color", "indent", "hang_x0", "starts_item", "clip"]
     held = F.transform(F.array_sort(F.collect_list(F.struct("para_no", F.struct(*fields).alias("q")))), lambda x: x["q"])
     pages = rows.groupBy("source", "page_no", "width", "height").agg(held.alias("paragraphs"))
-    page = F.struct(F.col("page_no").alias("number"), "width", "height", "paragraphs")
-    documents = pages.groupBy("source").agg(F.array_sort(F.collect_list(page)).alias("pages"))
+    return pages.select("source", F.struct(F.col("page_no").alias("number"), "width", "height", "paragraphs").alias("page"))
+
+
+def to_documents(rows: DataFrame) -> DataFrame:
+    """(source, value): the document JSON of paragraph rows; a document is one row, as it is one file."""
+    documents = _pages(rows).groupBy("source").agg(F.array_sort(F.collect_list("page")).alias("pages"))
     return documents.select("source", F.to_json(F.struct("source", "pages")).alias("value"))
 
 
+def layout_envelopes(rows: DataFrame, dots: int = PREVIEW_DOTS) -> DataFrame:
+    """(source, page_no, value): per page the JSON that an editor lays over the page's picture, with the picture's size in pixels."""
+    zoom = dots / 72
+    size = F.struct(F.col("page.number").alias("number"), *(F.bround(F.col(f"page.{side}") * zoom).cast("int").alias(f"px_{side}") for side in ("width", "height")))
+    render = F.struct(F.lit(zoom).alias("zoom"), F.array(size).alias("pages"))
+    value = F.to_json(F.struct(F.lit(1).alias("schema"), "source", F.array("page").alias("pages"), render.alias("render")))
+    return _pages(rows).select("source", F.col("page.number").alias("page_no"), value.alias("value"))
+
+
+def marked_pages(pages: DataFrame, numbers: str | None, page: str = "page_no") -> DataFrame:
+    """``pages`` with selected: whether the page is among the numbers asked for; the others stay as they are. None selects all."""
+    return pages.withColumn("selected", F.lit(True) if numbers is None else F.array_contains(page_numbers(F.lit(numbers)), F.col(page)))
+
+
 @F.pandas_udf(T.StringType())
 def composed(text: pd.Series) -> pd.Series:
     """Canonical composition, which Spark has no function for."""

@@ -22,3 +22,21 @@ def test_exit_codes(spark, tmp_path):
     assert main(["nothing"], spark) == 2 and main(["query", "none", "/root/testdata/sf0.001"], spark) == 2
     assert main(["query", "glossary_merge", "/root/testdata/sf0.001"], spark) == 0
     assert main(["translate", str(tmp_path), "o", "--backend", "none"], spark) == 3
+
+
+def test_batch(spark, tmp_path):
+    docs, out = str(tmp_path / "docs"), str(tmp_path / "out")
+    rows = [("a.pdf", "pdf", 5, 1, "hola mundo"), ("b.docx", "office", 5, 2, "Monto"), ("c.txt", "copy", 5, 3, "como es"), ("d", "other", 5, 4, "nada")]
+    form = "src string, kind string, mtime long, doc_id long, text string"
+    spark.createDataFrame(rows, form).write.parquet(docs)
+    assert main(["batch", docs, out, "--only", "pdfs"], spark) == 3
+    assert main(["batch", docs, out], spark) == 0
+    told = lambda run: {(r.src, r.status) for r in spark.read.parquet(f"{out}/report/run={run}").collect()}
+    assert told(1) == {("a.pdf", "ok"), ("b.docx", "ok"), ("c.txt", "copied")}
+    assert {r.translated for r in spark.read.parquet(f"{out}/units/run=1").collect()} == {"HOLA MUNDO", "MONTO"}
+    assert [r.text for r in spark.read.parquet(f"{out}/copies/run=1").collect()] == ["como es"]
+    spark.createDataFrame([("a.pdf", "pdf", 6, 1, "otra vez"), *rows[1:]], form).write.mode("overwrite").parquet(docs)
+    assert main(["batch", docs, out], spark) == 0
+    assert told(2) == {("a.pdf", "ok"), ("b.docx", "skipped"), ("c.txt", "skipped")}
+    assert main(["batch", docs, out, "--only", "office", "--force"], spark) == 0 and told(3) == {("b.docx", "ok")}
+    assert main(["batch", docs, out, "--backend", "failing", "--force"], spark) == 1
