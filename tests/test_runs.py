@@ -1,3 +1,5 @@
+import struct
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -6,6 +8,7 @@ from quire.operators import glossary as G
 from quire.operators import render as D
 from quire.operators import report as P
 from quire.sources import documents as S
+from quire.sources.fonts import face, font_index
 
 DOCUMENTS = "src string, kind string, mtime long"
 
@@ -59,3 +62,44 @@ def test_marked_pages(spark):
     pages = spark.range(4).withColumnRenamed("id", "page_no")
     assert [r.selected for r in S.marked_pages(pages, "2, 4").orderBy("page_no").collect()] == [False, True, False, True]
     assert S.marked_pages(pages, None).where("selected").count() == 4
+
+
+def font(names, style=0, collection=False, tables=("head", "name")):
+    """A font file that holds nothing but its names (platform, language, kind, text) and style bits."""
+    start = 16 if collection else 0
+    head = bytes(44) + struct.pack(">H", style) + bytes(8)
+    texts = [text.encode("utf-16-be" if platform == 3 else "latin-1") for platform, _, _, text in names]
+    records, at = b"", 0
+    for (platform, language, kind, _), text in zip(names, texts, strict=True):
+        records += struct.pack(">6H", platform, 1, language, kind, len(text), at)
+        at += len(text)
+    body = {"head": head, "name": struct.pack(">3H", 0, len(names), 6 + len(records)) + records + b"".join(texts)}
+    out = (b"ttcf" + struct.pack(">3I", 1, 1, start)[:8] + struct.pack(">I", start)) if collection else b""
+    out += struct.pack(">I4H", 0x10000, len(tables), 0, 0, 0)
+    at = len(out) + 16 * len(tables)
+    for table in tables:
+        out += table.encode() + struct.pack(">3I", 0, at, len(body[table]))
+        at += len(body[table])
+    return out + b"".join(body[table] for table in tables)
+
+
+def test_face():
+    names = [(1, 0, 1, "Mac"), (3, 0x40C, 1, "Français"), (3, 0x409, 2, "Bold"), (3, 0x409, 1, "English "), (3, 0x409, 1, "Other")]
+    assert face(font(names, 3)) == ("English", True, True) == face(font(names, 3, collection=True))
+    assert face(font(names[:2], 2)) == ("Français", False, True) and face(font(names[:1])) == ("Mac", False, False)
+    assert face(font([(3, 0x409, 1, "")], 1)) == (None, True, False) and face(font(names, 1, tables=("head",))) == (None, True, False)
+    whole = font(names)
+    assert face(b"") == (None, False, False) and all(len(face(whole[:cut])) == 3 for cut in range(len(whole)))
+
+
+def test_font_index(spark, tmp_path):
+    for name in ("one", "two"):
+        (tmp_path / name).mkdir()
+    files = {"one/z.ttf": font([(3, 0x409, 1, "Foo")]), "one/a.otf": font([(3, 0x409, 1, "foo")]), "two/a.ttf": font([(3, 0x409, 1, "FOO")]), "two/b.ttc": font([(3, 0x409, 1, "Foo")], 1, collection=True), "two/bad.ttf": b"no font", "two/c.txt": font([(3, 0x409, 1, "Text")])}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    got = {(r.family, r.bold, r.italic, r.path.split("/", 1)[1].split(tmp_path.name + "/")[1]) for r in font_index(spark, [str(tmp_path / n) for n in ("one", "two")]).collect()}
+    assert got == {("foo", False, False, "one/z.ttf"), ("foo", True, False, "two/b.ttc")}
+    assert font_index(spark, []).count() == 0
+    resolved = D.resolve_fonts(spark.createDataFrame([("Foo-Bold",)], "font string"), font_index(spark, [str(tmp_path / "two")]), font_index(spark, []))
+    assert resolved.first().path.endswith("two/b.ttc")
