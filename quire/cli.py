@@ -1,4 +1,4 @@
-"""Command line: translate, batch, cache, audit and query, over Parquet or JSON tables.
+"""Command line: translate, batch, cache, audit, config and query, over Parquet or JSON tables.
 
 Exit codes: 0 done, 1 some documents or units failed, 2 wrong usage, 3 wrong configuration.
 """
@@ -6,8 +6,10 @@ Exit codes: 0 done, 1 some documents or units failed, 2 wrong usage, 3 wrong con
 from __future__ import annotations
 
 import argparse
+import json
 import sys
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -19,23 +21,34 @@ from quire.operators import cache as C
 from quire.operators import entities as E
 from quire.operators import glossary as G
 from quire.operators import report as P
-from quire.operators.backends import Context, make_backend
+from quire.operators import resolve as R
+from quire.operators.backends import Backend, Context, make_backend
+from quire.plans.staging import staged
 from quire.plans.translate import new_cache_entries, translate_documents, units_of
 from quire.sources.config import load_config, load_roster
 
+DEFAULTS = {"glossary": {"files": []}, "postrules": {"sets": ["dates"], "files": []}, "entities": {}}
+#: Folder of files that are never committed.
+PRIVATE = "private"
 NO_CACHE = "namespace string, source string, en string, status string, seq long"
 
 
 def _settings(spark: SparkSession, path: str | None) -> tuple[Context, DataFrame, list[tuple[str, str]]]:
-    config = load_config(path, {"glossary": {"files": []}, "postrules": {"sets": ["dates"], "files": []}, "entities": {}}) if path else {}
-    glossary = G.load_glossary(spark, config.get("glossary", {}).get("files", []))
-    rules = load_rules(config.get("postrules", {}).get("sets", ["dates"]), config.get("postrules", {}).get("files", []))
-    roster = config.get("entities", {}).get("file")
+    found = load_config(path, DEFAULTS) if path else DEFAULTS
+    glossary = G.load_glossary(spark, found["glossary"]["files"])
+    rules = load_rules(found["postrules"]["sets"], found["postrules"]["files"])
+    roster = found["entities"].get("file")
     # A roster is a list that people keep by hand; it becomes part of the expressions.
     names = tuple(r.entity for r in load_roster(spark, roster).collect()) if roster else ()
     return Context(entities=names), glossary, rules
 
 
+def _namespace(backend: Backend, context: Context, glossary: DataFrame, rules: list[tuple[str, str]]) -> str:
+    # Glossary files are read on the driver to begin with.
+    terms = {r.term: r.translation for r in G.merge_glossary(glossary).collect()}
+    return C.namespace(backend.name, "", context.source_lang, context.target_lang, terms, context.entities, rules)
+
+
 def _cache(spark: SparkSession, path: str | None) -> DataFrame:
     if not path:
         return spark.createDataFrame([], NO_CACHE)
@@ -51,9 +64,7 @@ def translate(spark: SparkSession, args: argparse.Namespace) -> int:
     """Translates documents; with --dry-run only estimates."""
     context, glossary, rules = _settings(spark, args.config)
     backend = make_backend(args.backend)
-    # Glossary files are read on the driver to begin with.
-    terms = {r.term: r.translation for r in G.merge_glossary(glossary).collect()}
-    key = C.namespace(backend.name, "", context.source_lang, context.target_lang, terms, context.entities, rules)
+    key = _namespace(backend, context, glossary, rules)
     known = _cache(spark, args.cache).where(F.col("namespace") == key)
     documents = spark.read.parquet(args.documents)
     if args.dry_run:
@@ -109,6 +120,9 @@ def cache(spark: SparkSession, args: argparse.Namespace) -> int:
         C.statistics(table).show()
     elif args.action == "pending":
         C.pending(table).show(truncate=70)
+        return int(not C.pending(table).isEmpty())
+    elif args.action == "retry":
+        return retry(spark, args, table)
     elif args.action == "compact":
         C.compact(spark, args.cache, args.output)
     elif args.action == "purge":
@@ -116,6 +130,46 @@ def cache(spark: SparkSession, args: argparse.Namespace) -> int:
     return 0
 
 
+def retry(spark: SparkSession, args: argparse.Namespace, table: DataFrame) -> int:
+    """Sends what is pending in the configuration's namespace to the backend again and adds the answers to the cache."""
+    context, glossary, rules = _settings(spark, args.config)
+    backend = make_backend(args.backend)
+    known = table.where(F.col("namespace") == _namespace(backend, context, glossary, rules))
+    asked = C.pending(known).select(F.col("source").alias("unit"), "en", "status")
+    again = staged(R.second_pass(asked, backend, context, rules), "cache-retry")
+    counts = R.retry_counts(known, again).first()
+    last = known.agg(F.max("seq")).first()[0] or 0
+    good = again.where("status = 'ok'").select(F.lit(_namespace(backend, context, glossary, rules)).alias("namespace"), F.col("unit").alias("source"), "en", "status", F.lit(last + 1).cast("long").alias("seq"))
+    if counts.recovered:
+        C.append(good, args.cache)
+    print(f"recovered {counts.recovered}/{counts.total}")
+    return 0
+
+
+def config(spark: SparkSession, args: argparse.Namespace) -> int:
+    """Makes a folder for private files that git ignores, or shows or validates a configuration."""
+    if args.action == "init":
+        folder = Path(args.path)
+        (folder / PRIVATE).mkdir(parents=True, exist_ok=True)
+        (folder / PRIVATE / ".gitignore").write_text("*\n", "utf-8")
+        ignored = folder / ".gitignore"
+        lines = ignored.read_text("utf-8").splitlines() if ignored.is_file() else []
+        if f"{PRIVATE}/" not in lines:
+            ignored.write_text("\n".join([*lines, f"{PRIVATE}/"]) + "\n", "utf-8")
+        return 0
+    if args.action == "show":
+        print(json.dumps(load_config(args.path, DEFAULTS), indent=2, ensure_ascii=False))
+        return 0
+    if not Path(args.path).is_file():
+        raise ValueError(f"invalid: there is no {args.path}")
+    try:
+        _settings(spark, args.path)
+    except (ValueError, OSError) as error:
+        raise ValueError(f"invalid: {error}") from error
+    print("ok")
+    return 0
+
+
 def audit(spark: SparkSession, args: argparse.Namespace) -> int:
     """Lists cache entries that translate a lone fragment of a protected name."""
     context, *_ = _settings(spark, args.config)
@@ -156,15 +210,21 @@ def parser() -> argparse.ArgumentParser:
     one.add_argument("--force", action="store_true")
     one.set_defaults(run=batch)
     one = commands.add_parser("cache", help=cache.__doc__)
-    one.add_argument("action", choices=["stats", "pending", "compact", "purge"])
+    one.add_argument("action", choices=["stats", "pending", "retry", "compact", "purge"])
     one.add_argument("cache")
     one.add_argument("--output")
     one.add_argument("--namespace", nargs="*", default=[])
+    one.add_argument("--backend", default="upper")
+    one.add_argument("--config")
     one.set_defaults(run=cache)
     one = commands.add_parser("audit", help=audit.__doc__)
     one.add_argument("cache")
     one.add_argument("--config")
     one.set_defaults(run=audit)
+    one = commands.add_parser("config", help=config.__doc__)
+    one.add_argument("action", choices=["init", "show", "validate"])
+    one.add_argument("path")
+    one.set_defaults(run=config)
     one = commands.add_parser("query", help=query.__doc__)
     one.add_argument("name")
     one.add_argument("tables")

@@ -40,3 +40,29 @@ def test_batch(spark, tmp_path):
     assert told(2) == {("a.pdf", "ok"), ("b.docx", "skipped"), ("c.txt", "skipped")}
     assert main(["batch", docs, out, "--only", "office", "--force"], spark) == 0 and told(3) == {("b.docx", "ok")}
     assert main(["batch", docs, out, "--backend", "failing", "--force"], spark) == 1
+
+
+def test_cache_retry(spark, tmp_path, capsys):
+    docs, out, cache = (str(tmp_path / n) for n in ("docs", "out", "cache"))
+    spark.createDataFrame([(1, "hola mundo\nuna casa")], "doc_id long, text string").write.parquet(docs)
+    assert main(["translate", docs, out, "--cache", cache], spark) == 0
+    known = spark.read.parquet(cache).collect()
+    spark.createDataFrame([(known[0].namespace, r.source, None, "failed", 9) for r in known], "namespace string, source string, en string, status string, seq long").write.mode("append").parquet(cache)
+    assert main(["cache", "pending", cache], spark) == 1
+    assert main(["cache", "retry", cache], spark) == 0 and "recovered 2/2" in capsys.readouterr().out
+    assert main(["cache", "pending", cache], spark) == 0
+    assert main(["cache", "retry", cache], spark) == 0 and "recovered 0/0" in capsys.readouterr().out
+
+
+def test_config(spark, tmp_path, capsys):
+    (tmp_path / ".gitignore").write_text("out")
+    for _ in range(2):
+        assert main(["config", "init", str(tmp_path)], spark) == 0
+    assert (tmp_path / ".gitignore").read_text() == "out\nprivate/\n" and (tmp_path / "private" / ".gitignore").read_text() == "*\n"
+    good, bad = tmp_path / "good.toml", tmp_path / "bad.toml"
+    good.write_text('[postrules]\nsets = []\n')
+    bad.write_text('[postrules]\nsets = ["none"]\n')
+    assert main(["config", "validate", str(good)], spark) == 0 and main(["config", "validate", str(bad)], spark) == 3
+    assert main(["config", "validate", str(tmp_path / "no.toml")], spark) == 3
+    capsys.readouterr()
+    assert main(["config", "show", str(good)], spark) == 0 and '"sets": []' in capsys.readouterr().out
