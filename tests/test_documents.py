@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import jobs as J
 from quire.operators import office as O
+from quire.queries import documents as D
 from quire.sources import config as G
 from quire.sources import documents as S
 
@@ -63,6 +64,25 @@ def test_packages_are_written_whole(spark, tmp_path):
         assert b'name="Data  all"' in new.read("xl/workbook.xml") and b"SUM('Data  all'!A1,'Sheet 1'!B2)" in new.read("xl/worksheets/sheet1.xml")
 
 
+def test_rewriting_of_empty_texts_and_missing_keys(spark):
+    word = f'<w:document xmlns:w="{O.WORD_NS}"><w:t/><w:t>Texto</w:t><w:t></w:t></w:document>'.encode()
+    parts = spark.createDataFrame([("a", 0, "word/document.xml", word), (None, 0, "word/document.xml", word)], "doc string, part_no int, part_name string, bytes binary")
+    counts = lambda *pairs: {r.doc: r.replaced for r in O.rewrite_parts(parts, spark.createDataFrame(pairs, "source string, en string")).collect()}
+    assert counts(("", "new")) == {"a": 2, None: 2}
+    assert counts(("Texto", "Text")) == {"a": 1, None: 1}
+
+
+@pytest.mark.parametrize("texts", [["Hola\n", "", None, "\n\n", "Hola"], ["A\r\nHola", "A\r\nA"], ["A\x01 ]]> <b>&\nHola\nA\x01 ]]> <b>&", "Hola", "hex:41"], ["A ]]>"], ["replaced"]])
+def test_office_rewrite_counts_the_first_line_whatever_it_is(spark, tmp_path, texts):
+    spark.createDataFrame([*enumerate(texts), (None, texts[0])], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    lines = {i: (t or "").split("\n") for i, t in [*enumerate(texts), (None, texts[0])]}
+    first = min(line for found in lines.values() for line in found)
+    got = {r.doc: r.replaced for r in D.office_rewrite(spark, str(tmp_path)).collect()}
+    assert got == {i if i is None else str(i): found.count(first) for i, found in lines.items()}
+    nodes = sorted((r.doc or "", r.node_no, r.text) for r in D.office_text_nodes(spark, str(tmp_path)).collect())
+    assert nodes == sorted(("" if i is None else str(i), n, line) for i, found in lines.items() for n, line in enumerate(found) if line)
+
+
 @pytest.mark.parametrize(("chars", "fonts", "kind"), [(0, [], "scan"), (39, ["A"], "scan"), (40, ["A"], "digital"), (50, ["GlyphLessFont"], "ocr"), (50, ["GlyphLessFont", "A"], "digital"), (50, [], "digital")])
 def test_classification(spark, chars, fonts, kind):
     pages = spark.createDataFrame([(1, "x" * chars, fonts)], "doc_id long, text string, fonts array<string>")
